@@ -27,6 +27,7 @@ from tallyfield.llm.common import as_bytes
 WINDOW = 4096
 SENTENCE, CUT = 6, 64  # penalties, in tokens of padding
 HARD = 256
+SIGNS = ".,;:!?*$%&#|'\"()-"  # one run of them after a word is one token run
 STRETCH = 48
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -56,40 +57,45 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: set[bytes]) -> None:
-        parts: dict[bytes, tuple[str, str]] = {}
-        other = []
-        for w in missing:
-            s = w.decode("utf-8", "replace")
-            core = s.rstrip(".,;:!?*$%&#|'\"()-")
-            if core.isalpha() and unicodedata.is_normalized("NFC", s):
-                parts[w] = (core.lower(), s[len(core) :])
+    def _learn(self, missing: list[bytes]) -> None:
+        """Strings of all missing words at once; plain ones through their lower-case letters and signs."""
+        both = b" ".join(missing).decode("utf-8", "replace")
+        low = both.lower().split(" ") if unicodedata.is_normalized("NFC", both) else [""] * len(missing)
+        core = [x.rstrip(SIGNS) for x in low]
+        plain = [c.isalpha() for c in core]
+        self._cores(list({c for c, p in zip(core, plain, strict=True) if p} - self.cores.keys()))
+        tails = {x[len(c) :] for x, c, p in zip(low, core, plain, strict=True) if p and len(c) < len(x)} - self.cores.keys()
+        self.cores.update(zip(tails, self._plain(list(tails)), strict=True))
+        cores, other = self.cores, []
+        for w, x, c, p in zip(missing, low, core, plain, strict=True):
+            if not p:
+                other.append(w)
+            elif len(c) == len(x):
+                self.words[w] = cores[c]
             else:
-                other.append((w, s))
-        new = list({c for c, _ in parts.values()} - self.cores.keys())
-        if new:
-            ids = np.array(self.t.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) == len(new) and at[-1] == len(ids):
-                data, at = ids.tobytes(), (at * 4).tolist()
-                self.cores.update(zip(new, (data[a:b] for a, b in zip([0, *at], at)), strict=False))
-            else:
-                self.cores.update(zip(new, self._plain(new), strict=True))
-        tails = list({t for _, t in parts.values() if t} - self.cores.keys())
-        if tails:
-            self.cores.update(zip(tails, self._plain(tails), strict=True))
-        for w, (c, t) in parts.items():
-            self.words[w] = self.cores[c] + (self.cores[t] if t else b"")
+                self.words[w] = cores[c] + cores[x[len(c) :]]
         if other:
-            self.words.update(zip((w for w, _ in other), self._plain([s for _, s in other]), strict=True))
+            self.words.update(zip(other, self._plain([w.decode("utf-8", "replace") for w in other]), strict=True))
+
+    def _cores(self, new: list[str]) -> None:
+        if not new:
+            return
+        ids = np.array(self.t.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) == len(new) and at[-1] == len(ids):
+            data, at = ids.tobytes(), (at * 4).tolist()
+            self.cores.update(zip(new, (data[a:b] for a, b in zip([0, *at], at, strict=False)), strict=True))
+        else:
+            self.cores.update(zip(new, self._plain(new), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
-        missing = {w for ws in split for w in ws if w not in self.words}
+        every = set().union(*split)
+        missing = list(every.difference(self.words))
         if missing:
             if len(self.words) + len(missing) > self.limit:
                 self.words, self.cores = {}, {}
-                missing = {w for ws in split for w in ws}
+                missing = list(every)
             self._learn(missing)
         get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, ws)), np.uint32) for ws in split]
