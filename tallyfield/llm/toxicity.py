@@ -21,7 +21,7 @@ from tallyfield.llm.common import as_bytes, rowwise
 from tallyfield.llm.quality_classifier import held_out
 
 WIDTH, STEP, HIDDEN, INPUTS = 24, 16, 8, 8
-GRAM = 4
+GRAM, BUCKET_BITS = 4, 18
 EPOCHS, RATE, BATCH = 10, 0.015, 48
 SAMPLE = 800  # most labelled rows of each class that a model learns from
 _SMALL = bytes(sorted(set(range(256)) - set(range(65, 91))))  # all but capitals
@@ -32,9 +32,22 @@ def normal(word: bytes) -> bytes:
     return word.lower().strip(EDGE)
 
 
-def grams(word: bytes) -> list[bytes]:
-    w = b"<" + word + b">"
-    return [w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1))]
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character GRAM-grams of <word>, all words in a row, and where each word's begin."""
+    data = b"".join([b"<" + (w or b"_") + b">____"[: 1 + max(0, GRAM - 2 - len(w or b"_"))] for w in words])
+    sizes = np.array([max(len(w or b"_") + 2, GRAM) for w in words], np.int64)
+    b = np.frombuffer(data, np.uint8).astype(np.uint32)
+    code = b[: len(b) - GRAM + 1].copy()
+    for j in range(1, GRAM):
+        code |= b[j : len(b) - GRAM + 1 + j] << np.uint32(8 * j)
+    bucket = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    inside = np.ones(len(bucket) + GRAM - 1, bool)
+    for j in range(1, GRAM):
+        inside[ends - j] = False  # grams that would run into the next word
+    counts = sizes - GRAM + 1
+    return bucket[inside[: len(bucket)]].astype(np.int64), np.cumsum(counts) - counts
 
 
 def odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -49,15 +62,13 @@ class Features:
 
     limit = 250_000
 
-    def __init__(self, words: dict[bytes, tuple[float, float]], pieces: dict[bytes, float]):
+    def __init__(self, words: dict[bytes, tuple[float, float]], pieces: np.ndarray):
         self.words, self.pieces = words, pieces
         self.reset()
 
     def reset(self) -> None:
-        self.rows: list[tuple] = [(0.0,) * INPUTS]
         self.places: dict[bytes, int] = {}
-        self.cores: dict[bytes, tuple] = {}
-        self.table = np.zeros((0, INPUTS), np.float32)
+        self.table = np.zeros((1, INPUTS), np.float32)
 
     def __getstate__(self):
         return {"words": self.words, "pieces": self.pieces}
@@ -65,30 +76,35 @@ class Features:
     def __setstate__(self, state):
         self.__init__(**state)
 
-    def row(self, word: bytes) -> tuple:
-        w = normal(word)
-        core = self.cores.get(w)
-        if core is None:
-            g = [self.pieces.get(x, 0.0) for x in grams(w)]
-            core = self.cores[w] = (*self.words.get(w, (0.0, 0.0)), sum(g) / len(g), max(g), min(g))
-        n = len(word)
-        return (*core, len(word.translate(None, _SMALL)) / n, (n - len(w)) / n, min(n, 30) / 10.0)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        get = self.places.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        for i in np.flatnonzero(at < 0).tolist():
-            w = words[i]
-            p = get(w, -1)
-            if p < 0:
-                p = self.places[w] = len(self.rows)
-                self.rows.append(self.row(w))
-            at[i] = p
-        return at
+    def learn(self, new: list[bytes]) -> None:
+        cores = [normal(w) for w in new]
+        bucket, starts = grams(cores)
+        g = self.pieces[bucket]
+        sizes = np.diff(np.append(starts, len(g)))
+        n = np.fromiter(map(len, new), np.float32, len(new))
+        x = np.empty((len(new), INPUTS), np.float32)
+        x[:, :2] = [self.words.get(c, (0.0, 0.0)) for c in cores]
+        x[:, 2], x[:, 3], x[:, 4] = np.add.reduceat(g, starts) / sizes, np.maximum.reduceat(g, starts), np.minimum.reduceat(g, starts)
+        x[:, 5] = [len(w.translate(None, _SMALL)) for w in new]
+        x[:, 5] /= n
+        x[:, 6] = 1 - np.fromiter(map(len, cores), np.float32, len(new)) / n
+        x[:, 7] = np.minimum(n, 30) / 10
+        at = len(self.table)
+        self.places.update(zip(new, range(at, at + len(new)), strict=True))
+        self.table = np.concatenate((self.table, x))
+
+    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        every = set().union(*texts)
+        new = list(every.difference(self.places))
+        if new and len(self.table) + len(new) > self.limit:
+            self.reset()
+            new = list(every)
+        if new:
+            self.learn(new)
+        get = self.places.__getitem__
+        return [np.fromiter(map(get, w), np.int64, len(w)) for w in texts]
 
     def array(self) -> np.ndarray:
-        if len(self.table) < len(self.rows):
-            self.table = np.concatenate((self.table, np.array(self.rows[len(self.table) :], np.float32)))
         return self.table
 
 
@@ -182,9 +198,7 @@ class Model:
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
         split = [t.split() for t in texts]
-        if len(self.features.rows) > self.features.limit:
-            self.features.reset()
-        places = [self.features.of(w) for w in split]
+        places = self.features.of(split)
         inputs = self.network.inputs(self.features.array())
         return top_windows(self.network, inputs, places)[0]
 
@@ -214,27 +228,34 @@ def learn(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> Model | None
         return None
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     split = [t.split() for t in texts]
-    counts: dict[int, tuple[Counter, Counter]] = {0: (Counter(), Counter()), 1: (Counter(), Counter())}
+    counts = {0: Counter(), 1: Counter()}
+    pieces = np.zeros((2, 1 << BUCKET_BITS))
     for words, k in zip(split, y.astype(int), strict=True):
         unique = {normal(w) for w in words}
-        counts[k][0].update(unique)
-        counts[k][1].update({g for w in unique for g in grams(w)})
+        counts[k].update(unique)
+        if unique:
+            pieces[k][np.unique(grams(list(unique))[0])] += 1
+    keys = list(counts[0].keys() | counts[1].keys())
+    seen_in = [np.array([counts[k][x] for x in keys], float) for k in (0, 1)]
 
     def tables(own: int | None) -> Features:
         """As seen by a text of class ``own`` that leaves itself out; by others if None."""
-        out = []
-        for j in (0, 1):
-            keys = list(counts[0][j].keys() | counts[1][j].keys())
-            clean, toxic = (np.array([counts[k][j][x] for x in keys], float) for k in (0, 1))
-            clean, toxic = np.maximum(clean - (own == 0), 0), np.maximum(toxic - (own == 1), 0)
-            v = odds(toxic, clean, n1 - (own == 1), n0 - (own == 0))
-            seen = np.log1p(clean + toxic) / np.log1p(len(y))
-            out.append({k: (a, b) for k, a, b in zip(keys, v.tolist(), seen.tolist(), strict=True) if abs(a) > 0.05 or b > 0.3} if j == 0 else {k: a for k, a in zip(keys, v.tolist(), strict=True) if abs(a) > 0.05})
-        return Features(*out)
+        less = [np.maximum(c - (own == k), 0) for k, c in enumerate(seen_in)]
+        small = [np.maximum(c - (own == k), 0) for k, c in enumerate(pieces)]
+        n = (n0 - (own == 0), n1 - (own == 1))
+        v, seen = odds(less[1], less[0], n[1], n[0]), np.log1p(less[0] + less[1]) / np.log1p(len(y))
+        words = {k: (a, b) for k, a, b in zip(keys, v.tolist(), seen.tolist(), strict=True) if abs(a) > 0.05 or b > 0.3}
+        return Features(words, odds(small[1], small[0], n[1], n[0]).astype(np.float32))
 
     loo = {k: tables(k) for k in (0, 1)}
-    places = [loo[int(k)].of(w) for w, k in zip(split, y, strict=True)]
-    shift0 = len(loo[0].rows)
+    for f in loo.values():
+        f.limit = 1 << 62
+    places = [np.zeros(0, np.int64)] * len(y)
+    for k in (0, 1):
+        mine = np.flatnonzero(y == k)
+        for i, p in zip(mine, loo[k].of([split[i] for i in mine]), strict=True):
+            places[i] = p
+    shift0 = len(loo[0].array())
     x = np.concatenate((loo[0].array(), loo[1].array()))
     places = [np.where(p > 0, p + shift0, 0) if k else p for p, k in zip(places, y, strict=True)]
     network, rng = Network(seed), np.random.default_rng(seed)
