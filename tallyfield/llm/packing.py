@@ -16,6 +16,7 @@ import functools
 import unicodedata
 from bisect import bisect_left
 from collections import deque
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -93,12 +94,13 @@ class Encoder:
         every = set().union(*split)
         missing = list(every.difference(self.words))
         if missing:
-            if len(self.words) + len(missing) > self.limit:
-                self.words, self.cores = {}, {}
-                missing = list(every)
             self._learn(missing)
         get = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), np.uint32) for ws in split]
+        out = [np.frombuffer(b"".join(map(get, ws)), np.uint32) for ws in split]
+        if len(self.words) > self.limit:  # frequent words are met first: they stay
+            self.words = dict(islice(self.words.items(), self.limit // 2))
+            self.cores = dict(islice(self.cores.items(), self.limit // 2))
+        return out
 
 
 def cuts(ids: np.ndarray, doc_ends: list[int], sentence: np.ndarray, at: int = 0) -> tuple[list[int], list[int]]:
