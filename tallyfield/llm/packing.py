@@ -13,6 +13,7 @@ remainder is cut at powers of two, which need no padding.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from bisect import bisect_left
 from collections import deque
@@ -28,20 +29,24 @@ from tallyfield.llm.common import as_bytes
 WINDOW = 4096
 SENTENCE, CUT = 6, 64  # penalties, in tokens of padding
 HARD = 256
-SIGNS = ".,;:!?*$%&#|'\"()-"  # one run of them after a word is one token run
+#: Letters, signs (no apostrophe near) or one digit; else the rest of the word.
+_RUNS = re.compile(r"[^\W\d_]++(?!')|(?:[^\w\s']|_)++(?!')|\d|\S+").findall
+#: Capitals with a lower case of their own at a word's end or of two characters; separators that aren't white space to all.
+_UNUSUAL = re.compile("[\u03a3\u0130\x1c-\x1f]")
 STRETCH = 48
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 class Encoder:
-    """Token ids of texts, through a cache of words.
+    """Token ids of texts, through a cache of their runs of letters, of signs, and of single digits.
 
-    The tokenizer lowers, drops white space and splits letters from digits and signs before it merges,
-    so a text's ids are its words' ids in a row.  Plain words are encoded many at a time and told apart
-    by their last token, which carries the end-of-word mark.
+    The tokenizer lowers, drops white space and parts letters, digits and signs before it merges, so a
+    text's ids are its runs' ids in a row.  A word is left whole from where an apostrophe may join signs
+    to letters; texts that are lowered or normalised in another way than Python's are encoded as they are.
+    Cached runs are encoded many at a time and told apart by their last token's end-of-word mark.
     """
 
-    limit = 700_000
+    limit = 800_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -52,57 +57,43 @@ class Encoder:
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.sentence = np.zeros(len(self.ends), bool)
         self.sentence[[i for w, i in vocabulary.items() if w.endswith("</w>") and set(w[:-4]) <= set(".!?") and w != "</w>"]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
+    def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: list[bytes]) -> None:
-        """Strings of all missing words at once; plain ones through their lower-case letters and signs."""
-        both = b" ".join(missing).decode("utf-8", "replace")
-        low = both.lower().split(" ") if unicodedata.is_normalized("NFC", both) else [""] * len(missing)
-        core = [x.rstrip(SIGNS) for x in low]
-        plain = [c.isalpha() for c in core]
-        self._cores(list({c for c, p in zip(core, plain, strict=True) if p} - self.cores.keys()))
-        tails = {x[len(c) :] for x, c, p in zip(low, core, plain, strict=True) if p and len(c) < len(x)} - self.cores.keys()
-        self.cores.update(zip(tails, self._plain(list(tails)), strict=True))
-        cores, other = self.cores, []
-        for w, x, c, p in zip(missing, low, core, plain, strict=True):
-            if not p:
-                other.append(w)
-            elif len(c) == len(x):
-                self.words[w] = cores[c]
-            else:
-                self.words[w] = cores[c] + cores[x[len(c) :]]
-        if other:
-            self.words.update(zip(other, self._plain([w.decode("utf-8", "replace") for w in other]), strict=True))
-
-    def _cores(self, new: list[str]) -> None:
-        if not new:
-            return
-        ids = np.array(self.t.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
+    def _learn(self, new: list[str]) -> None:
+        single = [x for x in new if x.isalpha()]
+        other = [x for x in new if not x.isalpha()]
+        ids = np.array(self.t.encode(" ".join(single), add_special_tokens=False).ids, np.uint32)
         at = np.flatnonzero(self.ends[ids]) + 1
-        if len(at) == len(new) and at[-1] == len(ids):
+        if single and len(at) == len(single) and at[-1] == len(ids):
             data, at = ids.tobytes(), (at * 4).tolist()
-            self.cores.update(zip(new, (data[a:b] for a, b in zip([0, *at], at, strict=False)), strict=True))
+            self.runs.update(zip(single, (data[a:b] for a, b in zip([0, *at], at, strict=False)), strict=True))
         else:
-            self.cores.update(zip(new, self._plain(new), strict=True))
+            other += single
+        self.runs.update(zip(other, self._each(other), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        every = set().union(*split)
-        missing = list(every.difference(self.words))
-        if missing:
-            self._learn(missing)
-        get = self.words.__getitem__
-        out = [np.frombuffer(b"".join(map(get, ws)), np.uint32) for ws in split]
-        if len(self.words) > self.limit:  # frequent words are met first: they stay
-            self.words = dict(islice(self.words.items(), self.limit // 2))
-            self.cores = dict(islice(self.cores.items(), self.limit // 2))
+        whole = [t.decode("utf-8", "replace") for t in texts]
+        usual = [_UNUSUAL.search(x) is None and unicodedata.is_normalized("NFC", x) for x in whole]
+        split = [_RUNS(x.lower()) if u else [] for x, u in zip(whole, usual, strict=True)]
+        new = list(set().union(*split).difference(self.runs))
+        if new:
+            self._learn(new)
+        get = self.runs.__getitem__
+        out = [np.frombuffer(b"".join(map(get, runs)) if u else self._each([x])[0], np.uint32) for x, u, runs in zip(whole, usual, split, strict=True)]
+        if len(self.runs) > self.limit:  # frequent runs are met first: they stay
+            self.runs = dict(islice(self.runs.items(), self.limit // 2))
         return out
 
 
+@functools.lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process: what one task learns serves the next."""
+    return Encoder(path)
+
+
 def cuts(ids: np.ndarray, doc_ends: list[int], sentence: np.ndarray, at: int = 0) -> tuple[list[int], list[int]]:
     """Places where a window may end, in order, and what ending there costs."""
     ends = np.asarray(doc_ends, np.int64)
@@ -152,7 +143,7 @@ def plan(place: list[int], cost: list[int], window: int = WINDOW) -> list[int]:
 
 
 def _packed(path: str, end_id: int, window: int, batches):
-    encoder, part = Encoder(path), TaskContext.get().partitionId()
+    encoder, part = encoder_of(path), TaskContext.get().partitionId()
     ids: list[np.ndarray] = []
     docs: list[list[int]] = []  # doc_id, start in its document, length here, tokens of the document
     count, sequence = 0, part << 40

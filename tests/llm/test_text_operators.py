@@ -1,5 +1,6 @@
 """The text operators against brute force, round trips and hard cases."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -248,3 +249,16 @@ def test_hard_rows_and_empty_tables(spark, hard, empty, labels):
     assert packing.pack_documents(empty, P.path("word_bpe_49k.json")).count() == 0
     got = {(r["doc_id"], r["component_id"]) for r in jaccard_components(hard).collect()}
     assert {(1, 1), (2, 2), (6, 6), (4, 4), (5, 4)} <= got
+
+
+def test_packing_encodes_as_the_tokenizer_does():
+    """Runs through the cache give the same ids as whole texts, whatever signs, marks and spaces they hold."""
+    from corpus_pipeline import tokenizer
+    from tallyfield.llm.packing import Encoder
+
+    e, r = Encoder(tokenizer()), random.Random(5)
+    signs = "ab'st_.,!12²½ éÉΣσİßñ   \x1c\x85́ͅ中文क्षि\t\n\"-’reLLmMD👍Ⅳⓐ‍﻿\x00ª"
+    texts = ["", "don't 'sing' l'été", *("".join(r.choice(signs) for _ in range(r.randint(1, 40))) for _ in range(3000))]
+    got = [e.encode([x.encode() for x in texts[i : i + 256]]) for i in range(0, len(texts), 256)]
+    want = [x.ids for x in e.t.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for part in got for x in part] == want
