@@ -90,3 +90,32 @@ def test_queries_match_sql(spark):
 
     for name in ("flagship", "w01_prior_windows", "w18_standings", "x04_bet_selection", "e10_roi", "m01_upsert", "j09_asof", "a09_profile", "q01_audit", "st09_daily"):
         assert norm(QUERIES[name](spark, SF).toPandas()) == norm(con.execute(ORACLES[name]).df()), name
+
+
+def test_orders(spark):
+    from tallyfield.functions.orders import final_result, payout, stop_loss
+
+    lit = F.lit
+    none = lit(None).cast("int")
+    rule = lambda *x: stop_loss(lit("home"), *x)
+    got = one(spark, rule(lit(7), lit(0), lit(5), lit(8)), rule(lit(7), lit(0), lit(5), lit(10)), rule(lit(6), lit(0), lit(9), lit(8)), rule(lit(10), lit(1), lit(4), lit(8)), rule(none, lit(0), lit(9), lit(8)), rule(lit(8), none, lit(4), lit(8)))
+    assert got == [True, False, False, True, False, False]
+    assert one(spark, payout(none, lit(10.0), lit(-2.5), lit(100)), payout(lit(3), lit(10.0), lit(1.0), lit(1)), payout(none, lit(10.0), lit(None).cast("double"), lit(250))) == [7.5, 3.0, 2.5]
+    assert one(spark, final_result(lit("final"), lit(3), lit(3)), final_result(lit("final"), lit(3), lit(4)), final_result(lit("live"), lit(3), lit(4))) == [None, "away", None]
+
+
+def test_rules_match_sql_too(spark):
+    pytest.importorskip("duckdb")
+    import duckdb
+
+    from tallyfield.registry import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t in ("events", "orders", "customer", "lineitem"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    for name in ("j05_worklist", "j19_market_codes", "f03_contract", "f14_stop_loss", "a07_mix_fit", "s05_oldest_due"):
+        got = QUERIES[name](spark, SF)
+        cols = sorted(got.columns)
+        want = con.execute(f"select {', '.join(cols)} from ({ORACLES[name]}) t").fetchall()
+        plain = lambda rows: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
+        assert plain(map(tuple, got.select(*cols).collect())) == plain(want), name
