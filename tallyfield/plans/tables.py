@@ -219,7 +219,7 @@ def e15_correlations(spark, sf_dir):
 
 @query()
 def e02_walk_forward(spark, sf_dir):
-    """O-E2, E4, E6, E8, E16: logistic model per fold with recency weights, blend with the market, scores."""
+    """O-E2, E4, E8: logistic model per fold with recency weights, blend with the market, scores."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler

@@ -119,3 +119,27 @@ def test_rules_match_sql_too(spark):
         want = con.execute(f"select {', '.join(cols)} from ({ORACLES[name]}) t").fetchall()
         plain = lambda rows: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
         assert plain(map(tuple, got.select(*cols).collect())) == plain(want), name
+
+
+def test_prune_keeps_one_of_close_columns(spark):
+    from tallyfield.plans.learning import prune
+
+    rows = [(float(i), float(i) * 2 + (i % 3) * 0.01, float(i * 7 % 11), float(i % 2), 1.0, None if i % 4 else float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double, flat double, thin double")
+    kept = prune(df, ["a", "b", "c", "flat", "thin"], "y")
+    assert len({"a", "b", "thin"} & set(kept)) == 1 and {"c", "flat"} <= set(kept)
+
+
+def test_routing_and_bootstrap_match_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from tallyfield.registry import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t in ("orders", "customer"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    for name in ("e07_routing", "e14_bootstrap"):
+        got = QUERIES[name](spark, SF)
+        cols = sorted(got.columns)
+        want = con.execute(f"select {', '.join(cols)} from ({ORACLES[name]}) t").fetchall()
+        plain = lambda rows: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
+        assert plain(map(tuple, got.select(*cols).collect())) == plain(want), name
