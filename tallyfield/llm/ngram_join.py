@@ -13,8 +13,9 @@ Exactness.  A block in which both points are empty says nothing and is left out;
 blocks where a class has 48 blocks or more.  That a true pair then meets in no cell needs its few
 differing shingles to fall one by one into every filled block; small classes use several independent
 partitions into blocks so that the odds stay below about 1e-9 for a pair just at the threshold, in
-the range of the odds that two shingles share a 64-bit hash.  Sizes up to 8 at t = 0.8 (D <= 2)
-use all sets less one shingle, which is exact.
+the range of the odds that two shingles share a 64-bit hash.  Classes with D <= 2 use the whole set
+and all sets less one shingle; a set that may hold another and two shingles more gives all sets less
+two shingles besides (351 at most), which is exact.
 
 Large groups.  Equal sets collapse to their smallest id before anything is dealt out.  In a cell only
 the most central point is joined to the others (a linear star); pairs inside one component are then
@@ -64,7 +65,11 @@ def cell_keys(s: np.ndarray, percent: int) -> np.ndarray:
         if most <= 2:
             whole = mix(s ^ np.uint64(0x5BD1E995))
             total = whole.sum(dtype=np.uint64)
-            out.append(mix(np.concatenate(([total], total - whole)) ^ tag))
+            sums = [[total], total - whole]
+            if most == 2 and 100 * (n - 2) >= percent * n and class_of(n - 2) == c:  # all of a smaller set and two more
+                i, j = np.triu_indices(n, 1)
+                sums.append(total - whole[i] - whole[j])
+            out.append(mix(np.concatenate(sums) ^ tag))
             continue
         m = most + 1
         for rep in range(1 if m >= 48 else 3 if m >= 12 else 6):

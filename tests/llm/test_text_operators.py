@@ -85,6 +85,20 @@ def test_join_finds_edited_chains(spark):
     assert got == closed(dict(rows), 3, 90)
 
 
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_join_finds_all_short_pairs_at_the_threshold(spark, k, percent):
+    """A text less ``x`` words at its head and with ``y`` more at its end: all sizes, supersets (x = 0) included."""
+    rows = []
+    for n in range(1, 46):
+        for x in range(n):
+            for y in range(n):
+                if x + y and 100 * (n - x) >= percent * (n + y) > 100 * (n - x) - 300:
+                    w = [f"p{len(rows)}w{i}" for i in range(n + y + k - 1)]
+                    rows += [(len(rows), " ".join(w[: n + k - 1])), (len(rows) + 1, " ".join(w[x:]))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()}
+    assert got == closed(dict(rows), k, percent) and all(got[i][1] == i - i % 2 for i in got)
+
+
 def test_mix_meets_targets(docs):
     sizes = docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
     rows = mixing.mix_sources(sizes).collect()
