@@ -1,11 +1,13 @@
-"""Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest.
+"""Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digests of runs of chunks.
 
 The gear hash runs over words: ``h = (h << 1) + G[word]``; a chunk ends where the low ``BITS`` bits are
-zero.  Those bits depend on the last ``BITS`` words alone, so an insertion moves no later boundary.  Of
-each digest the first chunk, by (doc_id, place), stays; in other texts a run of consecutive repeated
-chunks of ``LEAST`` words or more is cut out.  Shorter runs are common phrases and stay.
+zero.  Those bits depend on the last ``BITS`` words alone, so an insertion moves no later boundary.  A
+chunk alone is no evidence: what is compared are runs, from each chunk the shortest of ``LEAST`` words
+or more that begins there and the shortest that ends there.  Together they cover all chunks of a
+longer repeated run.  Of each digest the first run, by (doc_id, place), stays; chunks inside a later
+run are cut out.  Shorter repetitions are common phrases and stay.
 
-Chunks of one batch that share a digest are settled before anything is dealt out: only the batch's
+Runs of one batch that share a digest are settled before anything is dealt out: only the batch's
 first goes to the digest's partition, the others are marked and dealt by themselves.  A passage that a
 third of all texts hold thus sends one row for each batch.
 """
@@ -24,7 +26,8 @@ from tallyfield.llm.common import WordHashes, as_bytes, mix, rowwise
 BITS = 2
 LONGEST = 64  # words of a chunk
 LEAST = 20  # words of a run that is cut out
-_POWERS = np.cumprod(np.full(LONGEST, 0x9E3779B97F4A7C15, np.uint64))
+SPAN = 20  # low bits of a run's place: its chunks less one; above them its first chunk
+_BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -48,13 +51,28 @@ def chunk_starts(h: np.ndarray) -> np.ndarray:
     return starts
 
 
-def digests(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    sizes = np.diff(np.append(starts, len(h)))
-    place = np.arange(len(h)) - np.repeat(starts, sizes)
-    return mix(np.add.reduceat(mix(h) * _POWERS[place], starts) + sizes.astype(np.uint64))
+@functools.lru_cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse mod 2^64."""
+    one = np.ones(1, np.uint64)
+    return tuple(np.concatenate((one, np.cumprod(np.full(n, x, np.uint64)))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def runs(h: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Digests and places of the shortest runs of ``least`` words or more from and up to each chunk."""
+    ends, at = np.append(starts[1:], len(h)), np.arange(len(starts))
+    last, first = np.searchsorted(ends, starts + least), np.searchsorted(starts, ends - least, "right") - 1
+    ahead = last < len(starts)
+    back = first >= 0
+    back[back] = last[first[back]] != at[back]  # else it begins as a run of the other kind
+    i, j = np.concatenate((at[ahead], first[back])), np.concatenate((last[ahead], at[back]))
+    up, down = _powers(1 << len(h).bit_length())
+    total = np.append(np.uint64(0), np.cumsum(mix(h) * up[: len(h)], dtype=np.uint64))
+    a, b = starts[i], ends[j]
+    return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)), i << SPAN | j - i
 
 
-def _chunks(batches):
+def _chunks(least: int, batches):
     hashes = WordHashes()
     for batch in batches:
         docs = np.array(batch.column("doc_id").to_pylist() or [0], np.int64)
@@ -63,8 +81,8 @@ def _chunks(batches):
             h = hashes.of(text.split())
             starts = chunk_starts(h)
             if len(starts):
-                d = digests(h, starts)
-                found.append((d, np.full(len(d), docs[i], np.int64), np.arange(len(d), dtype=np.int32)))
+                d, place = runs(h, starts, least)
+                found.append((d, np.full(len(d), docs[i], np.int64), place))
         if not found:
             continue
         digest, doc, seq = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -96,31 +114,30 @@ def _later(batches):
         yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(seq[out])], names=["doc", "seq"])
 
 
-def spans(text: bytes, repeated: set[int], hashes: WordHashes, least: int = LEAST) -> list[tuple[int, int]]:
-    """Byte spans of runs of repeated chunks that hold ``least`` words or more."""
+def spans(text: bytes, repeated: set[int], hashes: WordHashes) -> list[tuple[int, int]]:
+    """Byte spans of the chunks that lie in repeated runs."""
     words = list(_WORD.finditer(text))
     starts = chunk_starts(hashes.of([m.group() for m in words])).tolist()
     ends = [*starts[1:], len(words)]
-    out, k = [], 0
-    while k < len(starts):
-        if k not in repeated:
-            k += 1
-            continue
-        a = k
-        while k < len(starts) and k in repeated:
-            k += 1
-        if ends[k - 1] - starts[a] >= least:
-            out.append((words[starts[a]].start(), words[ends[k - 1]].start() if ends[k - 1] < len(words) else len(text)))
-    return out
-
-
-def _edited(least: int, batches):
+    out, upto = [], -1  # the last chunk of the span that is open
+    for place in sorted(repeated):
+        a, z = place >> SPAN, (place >> SPAN) + (place & (1 << SPAN) - 1)
+        if a <= upto + 1 and out:
+            upto = max(upto, z)
+            out[-1][1] = upto
+        else:
+            out.append([a, z])
+            upto = z
+    return [(words[starts[a]].start(), words[ends[z]].start() if ends[z] < len(words) else len(text)) for a, z in out]
+
+
+def _edited(batches):
     hashes = WordHashes()
     for batch in batches:
         for part in rowwise(batch):
             texts, cut = [], []
             for raw, seqs in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("seqs").to_pylist(), strict=True):
-                gone = spans(raw, set(seqs), hashes, least) if raw and seqs else []
+                gone = spans(raw, set(seqs), hashes) if raw and seqs else []
                 if gone:
                     at, keep = 0, []
                     for a, b in gone:
@@ -134,11 +151,11 @@ def _edited(least: int, batches):
             yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(texts, pa.binary()).cast(pa.string()), spans_], names=names)
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc, seqs: places of the chunks of each text whose digest an earlier chunk has."""
+def repeated_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc, seqs: places of the runs of chunks of each text whose digest an earlier run has."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = rows.mapInArrow(_chunks, "key long, doc long, seq int, again boolean")
-    later = chunks.repartition("key").sortWithinPartitions("key", "again", "doc", "seq").mapInArrow(_later, "doc long, seq int")
+    chunks = rows.mapInArrow(functools.partial(_chunks, least), "key long, doc long, seq long, again boolean")
+    later = chunks.repartition("key").sortWithinPartitions("key", "again", "doc", "seq").mapInArrow(_later, "doc long, seq long")
     return later.groupBy("doc").agg(F.collect_set("seq").alias("seqs"))
 
 
@@ -153,8 +170,8 @@ def dedup_substrings(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
     plain = docs.drop("cut", "seqs")
     keep = [c for c in plain.columns if c != "text"]
-    told = repeated_chunks(plain).withColumnRenamed("doc", "__doc")
+    told = repeated_runs(plain, least).withColumnRenamed("doc", "__doc")
     joined = plain.join(told, F.col("doc_id") == F.col("__doc"), "left").select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("text"), F.col("seqs"))
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "text"), "text string, cut array<struct<start:bigint,end:bigint>>"])
-    out = joined.mapInArrow(functools.partial(_edited, least), fields)
+    out = joined.mapInArrow(_edited, fields)
     return out.select(*[F.col(f"`{c}`") for c in plain.columns], "cut")

@@ -215,6 +215,14 @@ def test_shared_passage_is_cut_once_and_others_stay(spark):
             assert left <= 35 and all(w in out[i]["text"].split() for w in t.split()[:36])
 
 
+def test_short_repetitions_do_not_add_up(spark):
+    """Every chunk of the last text occurs before, but no 20 words in a row do."""
+    words = [f"q{x}" for x in np.random.default_rng(4).integers(0, 10**6, 400)]
+    rows = [(i, " ".join(words[i * 4 : i * 4 + 19])) for i in range(96)] + [(500, " ".join(words))]
+    out = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i]["text"] == t and not out[i]["cut"] for i, t in rows)
+
+
 def test_pages_keep_the_article(spark):
     html = '<html><body><nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies here a lot indeed</div><article><h1>T &amp; Co</h1><p>First  line<br>goes on and on for quite some words.<p>Ok.</p><form><input>name</form></article><div id="comments"><p>Great text, thank you very much for it!</p></div><footer>&copy; me</footer>'
     pages = spark.createDataFrame([(1, "u", html), (2, "v", None), (3, None, "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
