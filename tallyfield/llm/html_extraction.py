@@ -5,7 +5,8 @@ line has its container (the innermost sectioning element) and its text-to-tag ra
 elements that never hold the article (navigation, footers, forms, scripts, adverts by class or id ...)
 makes no line.  The ratios are smoothed by a Gaussian along the page, lines above a share of their
 spread form the content clusters, and a container that holds a cluster is a content region: all its
-lines are kept, so short paragraphs of the article aren't lost.
+lines are kept, so short paragraphs of the article aren't lost, and so are those of the containers in
+it (quotations, tables, nested sections).  An article, main or section around a region is one too.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ SIGMA, SHARE = 1.5, 0.5
 SKIPPED = set("script style noscript template head title nav footer header aside form button select option textarea label iframe svg canvas object dialog menu figcaption".split())
 BLOCKS = set("p div article section main body h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody tfoot caption blockquote pre hr figure address details summary fieldset center html".split())
 CONTAINERS = set("article main section div body td blockquote".split())
+WHOLE = set("article main section".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Tokens of class, id or role that tell an element apart from the article.
 ASIDE = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header login menu modal nav navbar navigation newsletter notice notices alert pagination popup promo related recommended replies reply responses share sharing shares sidebar signup social sponsor sponsored subscribe toolbar widget complementary contentinfo search discussion gdpr masthead topbar".split())
@@ -48,7 +50,8 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # tag, container, in an aside
-        self.containers = 0
+        self.outer = [0]  # of each container, the one around it
+        self.whole = [False]  # whether it is one of WHOLE
         self.parts: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, int]] = []
@@ -76,8 +79,9 @@ class Lines(HTMLParser):
         out = top[2] or is_aside(tag, attrs)
         container = top[1]
         if tag in CONTAINERS:
-            self.containers += 1
-            container = self.containers
+            container = len(self.outer)
+            self.outer.append(top[1])
+            self.whole.append(tag in WHOLE)
         self.stack.append((tag, container, out))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -116,8 +120,8 @@ def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(x, k / k.sum(), "same") if len(x) > 2 * reach else np.convolve(np.pad(x, reach), k / k.sum(), "valid")
 
 
-def content(lines: list[tuple[str, int, int]]) -> list[str]:
-    """Lines of the content regions."""
+def content(lines: list[tuple[str, int, int]], outer: list[int], whole: list[bool]) -> list[str]:
+    """Lines of the content regions.  A container's number is above that of the one around it."""
     if not lines:
         return []
     ratio = np.array([len(t) / max(1, tags) for t, tags, _ in lines])
@@ -129,15 +133,22 @@ def content(lines: list[tuple[str, int, int]]) -> list[str]:
         c[0] += len(text)
         c[1] += len(text) * bool(up)
     most = max(c[1] for c in chars.values())
-    boxes = {b for b, c in chars.items() if c[1] and c[1] >= 0.05 * most}
-    return [t for t, _, box in lines if box in boxes]
+    kept = [False] * len(outer)
+    for b, c in chars.items():
+        kept[b] = bool(c[1]) and c[1] >= 0.05 * most
+    holds = list(kept)
+    for b in range(len(outer) - 1, 0, -1):
+        holds[outer[b]] |= holds[b]
+    for b in range(1, len(outer)):
+        kept[b] |= kept[outer[b]] or holds[b] and whole[b]
+    return [t for t, _, box in lines if kept[box]]
 
 
 def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    return "\n\n".join(content(parser.lines))
+    return "\n\n".join(content(parser.lines, parser.outer, parser.whole))
 
 
 def _extracted(batches):

@@ -231,6 +231,16 @@ def test_pages_keep_the_article(spark):
     assert got == {1: (want, len(want)), 2: ("", 0), 3: ("", 0)}
 
 
+def test_pages_keep_what_is_nested_in_the_article():
+    long = [f"Paragraph {i} goes on and on " + "with a good many words " * 20 for i in range(20)]
+    inner = "<blockquote>A short quotation.</blockquote><table><tr><td>Cell one</td><td>2</td></tr></table><div><section>Nested.</section></div>"
+    want = "A short quotation.\n\nCell one\n\n2\n\nNested."
+    for a, b in (("", ""), ("<div>", "</div>")):  # lines of the article's own, or of a container in it
+        body = "".join(f"<p>{x}</p>" for x in long)
+        html = f'<body><div><a href="/">Home</a></div><article>{a}{body}{b}{inner}<div class="related">More like this</div></article><div><a href="/x">Other page</a></div></body>'
+        assert html_extraction.main_text(html) == "\n\n".join([*(x.strip() for x in long), want])
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 300, None, "late"), (2, None, "ann", "x")]
     out = chat_format.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("participant", F.lit(1))).collect()
