@@ -1,6 +1,8 @@
 """Corpus pipeline: reject junk, keep one of each near-duplicate group, cut repeated passages, mix, pack.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.  Verdicts belong to
+rows, not to doc_ids: ids may be null or repeated.  For that ``docs`` must be a table that is read in the
+same order each time, as Parquet files are.
 """
 
 from __future__ import annotations
@@ -25,16 +27,29 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``, a number of each row."""
+    return docs.withColumn("__row", F.monotonically_increasing_id())
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    good = classify_quality(docs, read(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi")
+    rows = numbered(docs)
+    good = classify_quality(rows, read(spark, sf_dir, "labels"), row="__row").where("predicted = 1").select("__row")
+    return rows.join(good, "__row", "left_semi").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of texts linked at 80 % of their five-word shingles."""
-    first = jaccard_components(docs, k=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    """One row of each group of texts linked at 80 % of their five-word shingles.
+
+    It is the row of the smallest doc_id, nulls last, and the first in the table of those that share it.
+    Texts without words are linked with nothing, so all of them stay.
+    """
+    rows = numbered(docs)
+    groups = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"), k=5, percent=80).select(F.col("doc_id").alias("__row"), "component_id")
+    ids = rows.select("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("of"))
+    first = groups.join(ids, "__row").groupBy("component_id").agg(F.min("of").alias("of")).select("of.__row")
+    return rows.join(first, "__row", "left_semi").select(docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,8 +76,9 @@ def _fold(items: Column, seed: int) -> Column:
     return F.aggregate(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), start, step)
 
 
-def mix_sources(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
-    """Copies of each document: ``sizes`` (doc_id, size, source) -> doc_id, size, source_size, target, copies, taken.
+def mix_sources(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, sourced: bool = False) -> DataFrame:
+    """Copies of each document: ``sizes`` (doc_id, size, source) -> doc_id, size, source_size, target, copies, taken
+    (and source, if ``sourced``).
 
     Null sizes count as 0, null sources are a source of their own (last), documents of no words take
     nothing.  Repeated rows are documents of their own: equal (doc_id, source, size) rows are counted
@@ -116,7 +117,7 @@ def mix_sources(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: in
     copies = (F.col("base") + F.when(F.col("p") > 0, F.coalesce(F.round("up").cast("long"), F.lit(0))).otherwise(0)).alias("copies")
     out = stash(out.select("doc_id", "size", "source", "source_size", "target", "u", copies))
     out = out.join(_change(out), "u", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["source"] if sourced else []))
 
 
 def _change(out: DataFrame) -> DataFrame:
@@ -134,9 +135,14 @@ def _change(out: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) with each row repeated as often as the mix takes it."""
+    """``docs`` (doc_id, text, source, ...) with each row repeated as often as the mix takes it.
+
+    Rows of the same doc_id, source and size, in the order of their texts, get a count of the plan each.
+    """
     sized = docs.withColumn("__size", words(F.col("text")))
-    plan = mix_sources(sized.select("doc_id", "source", F.col("__size").alias("size")), weights, seed)
-    copies = plan.groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__of")).agg(F.max("copies").alias("__copies"))
-    kept = sized.join(copies, sized["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__of")))
+    plan = mix_sources(sized.select("doc_id", "source", F.col("__size").alias("size")), weights, seed, sourced=True)
+    copies = plan.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__from"), F.col("size").alias("__of")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__all"))
+    same = sized["doc_id"].eqNullSafe(F.col("__id")) & sized["source"].eqNullSafe(F.col("__from")) & (F.col("__size") == F.col("__of"))
+    nth = F.row_number().over(Window.partitionBy("__id", "__from", "__of").orderBy("text"))
+    kept = sized.join(copies, same).withColumn("__copies", F.get("__all", F.when(F.size("__all") > 1, nth - 1).otherwise(0)))
     return kept.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)

@@ -63,7 +63,7 @@ def _vectors(batches):
     for batch in batches:
         for part in rowwise(batch):
             x = [statistics(t) for t in as_bytes(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(x, pa.list_(pa.float64()))], names=[*part.schema.names[:-1], "x"])
 
 
 @dataclass
@@ -108,7 +108,7 @@ def _scored(model: Discriminant, batches):
     for batch in batches:
         if batch.num_rows:
             x = np.array(batch.column("x").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(x))], names=[*batch.schema.names[:-1], "score"])
 
 
 def learn_quality(vectors: DataFrame, labels: DataFrame) -> Discriminant | None:
@@ -138,24 +138,25 @@ def learn_quality(vectors: DataFrame, labels: DataFrame) -> Discriminant | None:
     return fit(np.array([got[k]["n"] for k in (0, 1)]), np.array([got[k]["s"] for k in (0, 1)]), np.array([got[k]["q"] for k in (0, 1)]).reshape(2, d, d))
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``.
+def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = 0.3, row: str | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of ``docs``, and its column ``row`` (long) if named.
 
     ``labels`` has doc_id and quality (0/1); rows whose crc32(doc_id as text) mod ``folds`` is ``held``
     teach nothing.  Null and empty texts have a vector and so a score; with no learnable rows of either
     class every score is 0.5.  Null labels are skipped; repeated rows are scored each; of each table
     only the named columns are read.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    vectors = stash(texts.mapInArrow(_vectors, "doc_id long, x array<double>"))
+    more, field = ([row], f"{row} long, ") if row else ([], "")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.col("text").cast("string").alias("text"))
+    vectors = stash(texts.mapInArrow(_vectors, f"doc_id long, {field}x array<double>"))
     out = held_out("doc_id", folds, held)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(~out)
     model = learn_quality(vectors, known)
     if model is None:
-        scored = vectors.select("doc_id", F.lit(0.5).alias("score"))
+        scored = vectors.select("doc_id", *more, F.lit(0.5).alias("score"))
     else:
-        scored = vectors.mapInArrow(functools.partial(_scored, model), "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+        scored = vectors.mapInArrow(functools.partial(_scored, model), f"doc_id long, {field}score double")
+    return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
 
 
 def held_out(doc_id: str, folds: int, held: int):

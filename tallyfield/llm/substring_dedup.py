@@ -26,7 +26,8 @@ from tallyfield.llm.common import WordHashes, as_bytes, mix, rowwise
 BITS = 2
 LONGEST = 64  # words of a chunk
 LEAST = 20  # words of a run that is cut out
-SPAN = 20  # low bits of a run's place: its chunks less one; above them its first chunk
+SPAN = 20  # low bits of a run's place: its chunks less one; above them its first chunk,
+TAG = 45  # and above that 17 bits of its text, for texts that share a doc_id
 _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -58,6 +59,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate((one, np.cumprod(np.full(n, x, np.uint64)))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
+def tag(h: np.ndarray) -> int:
+    return int(mix(mix(h ^ mix(np.arange(len(h), dtype=np.uint64))).sum(dtype=np.uint64, keepdims=True))[0]) & (1 << 17) - 1
+
+
 def runs(h: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """Digests and places of the shortest runs of ``least`` words or more from and up to each chunk."""
     ends, at = np.append(starts[1:], len(h)), np.arange(len(starts))
@@ -69,7 +74,7 @@ def runs(h: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[np.ndar
     up, down = _powers(1 << len(h).bit_length())
     total = np.append(np.uint64(0), np.cumsum(mix(h) * up[: len(h)], dtype=np.uint64))
     a, b = starts[i], ends[j]
-    return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)), i << SPAN | j - i
+    return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)), tag(h) << TAG | i << SPAN | j - i
 
 
 def _chunks(least: int, batches):
@@ -117,11 +122,15 @@ def _later(batches):
 def spans(text: bytes, repeated: set[int], hashes: WordHashes) -> list[tuple[int, int]]:
     """Byte spans of the chunks that lie in repeated runs."""
     words = list(_WORD.finditer(text))
-    starts = chunk_starts(hashes.of([m.group() for m in words])).tolist()
+    h = hashes.of([m.group() for m in words])
+    starts, mine = chunk_starts(h).tolist(), tag(h)
     ends = [*starts[1:], len(words)]
     out, upto = [], -1  # the last chunk of the span that is open
     for place in sorted(repeated):
-        a, z = place >> SPAN, (place >> SPAN) + (place & (1 << SPAN) - 1)
+        a = (place & (1 << TAG) - 1) >> SPAN
+        z = a + (place & (1 << SPAN) - 1)
+        if place >> TAG != mine or z >= len(starts):
+            continue
         if a <= upto + 1 and out:
             upto = max(upto, z)
             out[-1][1] = upto
@@ -166,7 +175,7 @@ def dedup_substrings(docs: DataFrame, least: int = LEAST) -> DataFrame:
     Words are compared byte by byte, white space between them isn't.  Of a repeated passage the text
     with the smallest doc_id keeps its copy (in one text, the first place).  A text that is all
     repetition becomes empty and stays as a row; texts without repetition are unchanged, nulls stay
-    null.  Rows that repeat a doc_id with the same text keep it; a null doc_id takes no part.
+    null.  Rows that repeat a doc_id with the same text keep it, others are texts of their own; a null doc_id takes no part.
     """
     plain = docs.drop("cut", "seqs")
     keep = [c for c in plain.columns if c != "text"]

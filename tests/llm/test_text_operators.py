@@ -223,6 +223,41 @@ def test_short_repetitions_do_not_add_up(spark):
     assert all(out[i]["text"] == t and not out[i]["cut"] for i, t in rows)
 
 
+def test_stages_decide_by_row(spark, docs, tmp_path):
+    """Null and repeated doc_ids: each row has a verdict of its own."""
+    import corpus_pipeline
+
+    def table(rows, name):
+        spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    some = [tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars")) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").orderBy("doc_id").collect()]
+    lab = spark.read.parquet(f"{SF}/labels.parquet")
+    verdict = {r["doc_id"]: r["predicted"] for r in classify_quality(docs, lab).collect()}
+    junk, good = (next(r for r in some if verdict[r[0]] == v) for v in (0, 1))
+    rows = [*some, good, (None, *good[1:]), (None, *junk[1:]), (good[0], *junk[1:]), (junk[0], *good[1:])]
+    made = table(rows, "q")
+    left = Counter(tuple(r) for r in corpus_pipeline.quality(spark, made, SF).select("doc_id", "text").collect())
+    numbers = corpus_pipeline.numbered(made)
+    bad = {r["text"] for r in classify_quality(numbers, lab, row="__row").where("predicted = 0").join(numbers.select("__row", "text"), "__row").collect()}
+    assert left == Counter(r[:2] for r in rows if r[1] not in bad)
+
+    text = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(9, text(60, "a"), "en", "s", 0)] * 3 + [(None, text(60, "a"), "en", "s", 0), (4, text(61, "a"), "en", "s", 0), (9, text(50, "b"), "en", "s", 0), (None, text(50, "c"), "en", "s", 0), (None, text(51, "c"), "en", "s", 0), (5, " ", "en", "s", 0), (5, " ", "en", "s", 0)]
+    left = sorted(((r["doc_id"] or 0, r["text"].split()[0] if r["text"].strip() else "") for r in corpus_pipeline.near_duplicates(spark, table(rows, "n"), SF).collect()))
+    assert left == [(0, "c0"), (4, "a0"), (5, ""), (5, ""), (9, "b0")]
+
+    rows = [(1, text(200, "x"), "en", "s", 0), (2, text(200, "x"), "en", "s", 0), (2, text(90, "y"), "en", "s", 0), (2, text(25, "z"), "en", "s", 0)]
+    left = sorted(len(r["text"].split()) for r in corpus_pipeline.substrings(spark, table(rows, "s"), SF).where("doc_id = 2").collect())
+    assert left[1:] == [25, 90] and left[0] < 20
+
+    rows = [(i // 8, text(10, f"t{i}_"), "en", "ab"[i % 8 // 4], 0) for i in range(160)]
+    made = table(rows, "m")
+    want = {r["source"]: r["taken"] for r in mixing.mix_sources(made.select("doc_id", "source", mixing.words(F.col("text")).alias("size")), sourced=True).groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+    got = {r["source"]: r["taken"] for r in corpus_pipeline.mixing(spark, made, SF).groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("taken")).collect()}
+    assert got == want
+
+
 def test_pages_keep_the_article(spark):
     html = '<html><body><nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies here a lot indeed</div><article><h1>T &amp; Co</h1><p>First  line<br>goes on and on for quite some words.<p>Ok.</p><form><input>name</form></article><div id="comments"><p>Great text, thank you very much for it!</p></div><footer>&copy; me</footer>'
     pages = spark.createDataFrame([(1, "u", html), (2, "v", None), (3, None, "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
