@@ -1,10 +1,13 @@
 """Quality rules with adaptive thresholds; DataFrame functions only.
 
 Counts of each text are made by column expressions.  For each (lang, source) group and each signal a
-mergeable quantile sketch (KLL) is built; the group's threshold is its upper quartile plus a multiple
-of its spread, never below what ordinary text of any group shows, and a document is kept if all its
-signals are within its group's thresholds.  The sketches, a few kilobytes for each group, replace fixed
-cutoffs; they are joined back to the documents by group.
+mergeable quantile sketch (KLL) is built over all the group's documents with words; the group's
+thresholds are its quartiles, ``FENCE`` times their distance further out.  No signal has a fixed cutoff:
+what is usual in a group is its own sketch's matter.  Groups of fewer than ``LEAST`` documents take the
+merged sketch of their language, languages of fewer the merged sketch of all.  A document is rejected if
+a signal lies outside by more than its own chance: ``NOISE`` standard deviations of what a text of its
+length shows (the square root for counts).  The thresholds, a few numbers for each group, are joined
+back to the documents by group.
 """
 
 from __future__ import annotations
@@ -12,8 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 SPACE = "[\\x20\\x09-\\x0D]+"
-#: Signal -> (multiple of the group's spread above its upper quartile, least threshold).
-SIGNALS = {"symbols": (6.0, 0.20), "dup_lines": (6.0, 0.60), "repeats": (6.0, 0.10), "word_chars": (8.0, 14.0)}
+FENCE = 3.0
+NOISE = 2.0
+LEAST = 100
 WINDOW = 5
 
 
@@ -56,35 +60,55 @@ def rule_counts(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"))
 
 
-def signals() -> dict[str, Column]:
+def signals() -> dict[str, tuple[Column, Column]]:
+    """Signal -> (a document's value, its own chance of one standard deviation).
+
+    Words in repeated windows come ten at a time, two windows of five; lengths of words spread by about
+    half their mean.
+    """
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return {"symbols": F.col("n_symbols") / n, "dup_lines": 10.0 * F.col("n_dup_lines") / n, "repeats": F.col("n_repeat_words") / n, "word_chars": F.col("word_chars") / n}
+    per_word = {"symbols": (F.col("n_symbols"), 1.0), "dup_lines": (F.col("n_dup_lines"), 1.0), "repeats": (F.col("n_repeat_words"), 2.0 * WINDOW)}
+    out = {s: (c / n, F.sqrt(c * lump) / n) for s, (c, lump) in per_word.items()}
+    length = F.col("word_chars") / n
+    return out | {"word_chars": (length, 0.5 * length / F.sqrt(n))}
 
 
 def thresholds(counts: DataFrame) -> DataFrame:
-    """lang, source and one threshold for each signal, from sketches of all the group's documents."""
-    made = counts.groupBy("lang", "source").agg(*[F.kll_sketch_agg_double(c).alias(f"k_{s}") for s, c in signals().items()])
+    """of_lang, of_source and of each signal the least and greatest usual value, from the group's sketches."""
+    some = counts.where("n_words > 0")
+    sketched = some.groupBy("lang", "source").agg(F.count("*").alias("k"), *[F.kll_sketch_agg_double(v).alias(s) for s, (v, _) in signals().items()])
+    groups = counts.select("lang", "source").distinct().withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+    merged = lambda rows, *by: rows.groupBy(*by).agg(F.sum("k").alias("k"), *[F.kll_merge_agg_double(s).alias(s) for s in signals()])
+    from tallyfield.llm.common import stash
+
+    sketched = stash(sketched)
+    named = lambda rows, tag: rows.select([F.col(c).alias(f"{tag}_{c}") for c in rows.columns])
+    own, tongue, all_ = named(sketched, "own"), named(merged(sketched, "lang"), "tongue"), named(merged(sketched), "all")
+    told = groups.join(own, F.col("of_lang").eqNullSafe(F.col("own_lang")) & F.col("of_source").eqNullSafe(F.col("own_source")), "left")
+    told = told.join(tongue, F.col("of_lang").eqNullSafe(F.col("tongue_lang")), "left").crossJoin(F.broadcast(all_))  # one row
     out = []
-    for s, (times, least) in SIGNALS.items():
-        q = F.kll_sketch_get_quantile_double(f"k_{s}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        out.append(F.greatest(F.lit(least), q[2] + times * (q[2] - q[0])).alias(f"t_{s}"))
-    return made.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *out)
+    for s in signals():
+        sketch = F.when(F.col("own_k") >= LEAST, F.col(f"own_{s}")).when(F.col("tongue_k") >= LEAST, F.col(f"tongue_{s}")).otherwise(F.col(f"all_{s}"))
+        q = F.kll_sketch_get_quantile_double(sketch, F.array(F.lit(0.25), F.lit(0.75)))
+        out += [(q[0] - FENCE * (q[1] - q[0])).alias(f"low_{s}"), (q[1] + FENCE * (q[1] - q[0])).alias(f"high_{s}")]
+    return told.where("all_k > 0").select("of_lang", "of_source", *out)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, counts, base_failed, kept for each row of ``docs``.
 
     base_failed: under 10 words, or more than a fifth of the words in repeated five-word windows.
-    kept: not base_failed and every signal within the thresholds of the row's (lang, source); nulls
-    form a group like any value.  Repeated rows are judged each; an empty table gives no rows.
+    kept: not base_failed and every signal within the thresholds of the row's (lang, source), give or
+    take its own chance; nulls form a group like any value.  Repeated rows are judged each; an empty
+    table gives no rows.
     """
     from tallyfield.llm.common import stash
 
     counts = stash(rule_counts(docs))
-    limits = thresholds(counts)
+    limits = stash(thresholds(counts))
     joined = counts.join(limits, counts["lang"].eqNullSafe(F.col("of_lang")) & counts["source"].eqNullSafe(F.col("of_source")), "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     within = F.lit(True)
-    for s, c in signals().items():
-        within = within & (c <= F.col(f"t_{s}"))
+    for s, (value, chance) in signals().items():
+        within = within & (value - NOISE * chance <= F.col(f"high_{s}")) & (value + NOISE * chance >= F.col(f"low_{s}"))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(within, F.lit(True))).alias("kept"))
