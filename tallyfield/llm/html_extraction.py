@@ -1,18 +1,26 @@
 """HTML extraction: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clusters.
 
-The standard library's parser streams a page's events.  Block-level tags part the text into lines; each
-line has its container (the innermost sectioning element) and its text-to-tag ratio.  Text inside
-elements that never hold the article (navigation, footers, forms, scripts, adverts by class or id ...)
-makes no line.  The ratios are smoothed by a Gaussian along the page, lines above a share of their
-spread form the content clusters, and a container that holds a cluster is a content region: all its
-lines are kept, so short paragraphs of the article aren't lost, and so are those of the containers in
-it (quotations, tables, nested sections).  An article, main or section around a region is one too.
+The standard library's parser streams a page's events.  Block-level tags part the text into lines, and
+sectioning elements, lists and tables make nested boxes.  A line's ratio is its text outside of links
+over its tags; elements that usually aren't the article (footers, asides, forms, and those whose class,
+id or role says so) only weaken it, once for each such box around the line, and an article or main element
+strengthens it as much.  What can't be text
+(scripts, styles, templates, navigation, form controls, hidden elements) makes no line.
+
+Ratios are smoothed by a Gaussian along the page; lines above a share of their spread form the content
+clusters.  The region is the innermost box that holds most of the clusters' text, widened to the
+article or main element around it, or to the outermost box that adds lines which are content by
+themselves.  All of the region is kept but lists of links outside of clusters, weakened boxes whose
+ratio stays below that of the region's clusters, and, unless the region is an article or main element, boxes
+that no cluster touches.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,93 +29,130 @@ from pyspark.sql import DataFrame, functions as F
 from tallyfield.llm.common import rowwise
 
 SIGMA, SHARE = 1.5, 0.5
-SKIPPED = set("script style noscript template head title nav footer header aside form button select option textarea label iframe svg canvas object dialog menu figcaption".split())
-BLOCKS = set("p div article section main body h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody tfoot caption blockquote pre hr figure address details summary fieldset center html".split())
-CONTAINERS = set("article main section div body td blockquote".split())
-WHOLE = set("article main section".split())
+WEIGHT = 0.2  # of a line's ratio, for each box around it that usually isn't the article
+MOST = 0.5  # share of the clusters' text that the region's core holds
+NEVER = set("script style noscript template head title nav menu button select option textarea input iframe svg canvas object".split())
+BLOCKS = set("p div article section main body h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody tfoot caption blockquote pre hr figure figcaption address details summary fieldset center html header footer aside form dialog".split())
+BOXES = set("article main section div body td th blockquote ul ol dl table header footer aside form dialog figure fieldset center".split())
+LOOSE = set("div section center fieldset".split())  # boxes that may stand around anything
+WHOLE = set("article main".split())
+WEAK = set("footer aside form dialog label".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Tokens of class, id or role that tell an element apart from the article.
+#: Tokens of class, id or role that make it less likely that an element is the article.
 ASIDE = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header login menu modal nav navbar navigation newsletter notice notices alert pagination popup promo related recommended replies reply responses share sharing shares sidebar signup social sponsor sponsored subscribe toolbar widget complementary contentinfo search discussion gdpr masthead topbar".split())
-#: Elements that a p's end tag may be left out before.
-CLOSES_P = BLOCKS - {"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "body", "html", "dt", "dd", "li", "summary", "figure"} | {"ul", "ol", "dl", "li"}
+#: Start tags that end an open p.
+CLOSES_P = BLOCKS - set("td th tr thead tbody tfoot caption body html summary figcaption".split())
+#: Elements whose end tag may be left out: start tag -> what it ends, and the elements that this may not leave.
+IMPLIED = {"li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr"))}
+#: What the end of a p may not leave.
+AROUND_P = tuple(BOXES | {"li", "dt", "dd"})
 _SPACE = re.compile(r"\s+")
+_CAMEL = re.compile(r"([a-z])([A-Z])")
+_HIDDEN = re.compile(r"display\s*:\s*none")
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int  # characters inside links
+    box: int
+
+
+class Box(NamedTuple):
+    tag: str
+    outer: int  # number of the box around it, always a smaller one
+    weak: bool
 
 
-def is_aside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    if tag in SKIPPED:
-        return True
-    for k, v in attrs:
-        if k in ("hidden",) or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v):
-            return True
-        if k in ("class", "id", "role") and v and not ASIDE.isdisjoint(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", v).lower())):
-            return tag not in ("body", "html", "article", "main") or False
-    return False
+def is_hidden(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    return tag in NEVER or any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and _HIDDEN.search(v) for k, v in attrs)
+
+
+def says_aside(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(k in ("class", "id", "role") and v and not ASIDE.isdisjoint(re.split(r"[^a-z]+", _CAMEL.sub(r"\1-\2", v).lower())) for k, v in attrs)
 
 
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags, container number)."""
+    """Lines and boxes of a page; the time for an event doesn't depend on how deep elements are nested."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, container, in an aside
-        self.outer = [0]  # of each container, the one around it
-        self.whole = [False]  # whether it is one of WHOLE
+        self.stack: list[tuple[str, int, bool]] = []  # tag, box, hidden
+        self.opened: dict[str, list[int]] = defaultdict(list)  # places in the stack, by tag
+        self.blocks: list[int] = []  # those of blocks
+        self.boxes = [Box("", 0, False)]
         self.parts: list[str] = []
-        self.tags = 0
-        self.lines: list[tuple[str, int, int]] = []
+        self.tags = self.linked = 0
+        self.lines: list[Line] = []
 
     def line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append((text, self.tags, self.stack[-1][1] if self.stack else 0))
+            self.lines.append(Line(text, self.tags, min(self.linked, len(text)), self.stack[-1][1] if self.stack else 0))
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
             self.parts.append(" ")
-        top = self.stack[-1] if self.stack else ("", 0, False)
-        if tag in CLOSES_P and any(t == "p" for t, _, _ in self.stack) and not top[2]:
-            self._close("p")
-            top = self.stack[-1] if self.stack else ("", 0, False)
-        if tag in BLOCKS or tag in SKIPPED:
+        if tag in CLOSES_P:
+            self._end("p", AROUND_P)
+        if tag in IMPLIED:
+            ended, within = IMPLIED[tag]
+            for t in ended:
+                self._end(t, within)
+        _, box, hidden = self.stack[-1] if self.stack else ("", 0, False)
+        if tag in BLOCKS:
             self.line()
-        if not top[2]:
-            self.tags += 1
+        self.tags += not hidden
         if tag in VOID:
             return
-        out = top[2] or is_aside(tag, attrs)
-        container = top[1]
-        if tag in CONTAINERS:
-            container = len(self.outer)
-            self.outer.append(top[1])
-            self.whole.append(tag in WHOLE)
-        self.stack.append((tag, container, out))
+        hidden = hidden or is_hidden(tag, attrs)
+        if not hidden and tag in BLOCKS and tag not in ("html", "body"):
+            weak = tag in WEAK or says_aside(attrs) or tag == "header" and not any(self.opened[t] for t in ("article", "main", "section"))
+            if weak or tag in BOXES:
+                self.boxes.append(Box(tag, box, weak))
+                box = len(self.boxes) - 1
+        self.opened[tag].append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, box, hidden))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID and tag in NEVER:  # <p/> is a start tag to browsers
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in VOID:
-            self._close(tag)
-
-    def _close(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                if tag in BLOCKS or tag in SKIPPED:
-                    self.line()
-                del self.stack[i:]
-                return
-            if tag == "p" and self.stack[i][0] in CONTAINERS:
-                return
+        if tag == "p":
+            self._end("p", AROUND_P)
+        elif tag in IMPLIED:
+            self._end(tag, IMPLIED[tag][1])
+        elif tag not in VOID:
+            self._end(tag, ())
+
+    def _end(self, tag: str, within: tuple[str, ...]) -> None:
+        """End the innermost ``tag``, unless an element of ``within`` lies in it (or a block, for what isn't one)."""
+        if not self.opened[tag]:
+            return
+        at = self.opened[tag][-1]
+        if tag not in BLOCKS and tag not in NEVER and self.blocks and self.blocks[-1] > at:
+            return
+        if any(self.opened[t] and self.opened[t][-1] > at for t in within):
+            return
+        if self.blocks and self.blocks[-1] >= at:
+            self.line()
+        for t, _, _ in self.stack[at:]:
+            self.opened[t].pop()
+        del self.stack[at:]
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
 
     def handle_data(self, data: str) -> None:
         if not (self.stack and self.stack[-1][2]):
             self.parts.append(data)
+            if self.opened["a"]:
+                self.linked += len(data)
 
     def close(self) -> None:
         super().close()
@@ -120,35 +165,83 @@ def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(x, k / k.sum(), "same") if len(x) > 2 * reach else np.convolve(np.pad(x, reach), k / k.sum(), "valid")
 
 
-def content(lines: list[tuple[str, int, int]], outer: list[int], whole: list[bool]) -> list[str]:
-    """Lines of the content regions.  A container's number is above that of the one around it."""
+def content(lines: list[Line], boxes: list[Box]) -> list[str]:
+    """Lines of the content region."""
     if not lines:
         return []
-    ratio = np.array([len(t) / max(1, tags) for t, tags, _ in lines])
+    outer = [b.outer for b in boxes]
+    of = np.array([x.box for x in lines])
+    chars, linked, tags = (np.array(x, float) for x in zip(*((len(x.text), x.linked, x.tags) for x in lines), strict=True))
+
+    def depths(top: int) -> np.ndarray:
+        """Weak boxes around each box, those below ``top`` only."""
+        out = [0] * len(boxes)
+        for b in range(1, len(boxes)):
+            out[b] = 0 if b == top else out[outer[b]] + boxes[b].weak
+        return np.array(out)
+
+    def totals(x: np.ndarray) -> list[float]:
+        """Sums of the lines in each box and the boxes in it."""
+        out = np.bincount(of, x, len(boxes)).tolist()
+        for b in range(len(boxes) - 1, 0, -1):
+            out[outer[b]] += out[b]
+        return out
+
+    plain = (chars - linked) / np.maximum(tags, 1)
+    named = [False] * len(boxes)
+    for b in range(1, len(boxes)):
+        named[b] = named[outer[b]] or boxes[b].tag in WHOLE
+    weight = WEIGHT ** (np.minimum(depths(0), 3)[of] - np.array(named, float)[of])
+    ratio = plain * weight
     even = smooth(ratio)
-    high = even >= min(SHARE * even.std(), even.max())
-    chars: dict[int, list[int]] = {}
-    for (text, _, box), up in zip(lines, high, strict=True):
-        c = chars.setdefault(box, [0, 0])
-        c[0] += len(text)
-        c[1] += len(text) * bool(up)
-    most = max(c[1] for c in chars.values())
-    kept = [False] * len(outer)
-    for b, c in chars.items():
-        kept[b] = bool(c[1]) and c[1] >= 0.05 * most
-    holds = list(kept)
-    for b in range(len(outer) - 1, 0, -1):
-        holds[outer[b]] |= holds[b]
-    for b in range(1, len(outer)):
-        kept[b] |= kept[outer[b]] or holds[b] and whole[b]
-    return [t for t, _, box in lines if kept[box]]
+    level = min(SHARE * even.std(), even.max())
+    high = even >= level
+    mass, alone = totals(chars * weight * high), totals(chars * weight * (high & (ratio >= level)))
+
+    # the innermost box with most of the clusters' text, widened
+    core = 0
+    for b in range(1, len(boxes)):  # boxes in it come after it
+        if outer[b] == core and mass[b] >= MOST * mass[0]:
+            core = b
+    path = [core]
+    while path[-1] and boxes[path[-1]].tag not in WHOLE:
+        path.append(outer[path[-1]])
+    region = path[-1] if boxes[path[-1]].tag in WHOLE else core
+    if boxes[region].tag not in WHOLE:
+        for inner, b in zip(path, path[1:], strict=False):
+            if alone[b] > alone[inner] * (1 + 1e-9):
+                region = b
+    sure = boxes[region].tag in WHOLE
+
+    # what of the region isn't content
+    below = depths(region)
+    n, some, links, tagged, up = totals(np.ones(len(lines))), totals(chars), totals(linked), totals(tags), totals(high * 1.0)
+    inside = [False] * len(boxes)
+    inside[region] = True
+    for b in range(region + 1, len(boxes)):
+        inside[b] = inside[outer[b]]
+    mine = np.array(inside)[of] & (below[of] == 0) & high
+    usual = float(np.median(plain[mine])) if mine.any() else 0.0
+    kept = list(inside)
+    for b in range(region + 1, len(boxes)):
+        kept[b] = inside[b] and kept[outer[b]] and n[b] > 0
+        if not kept[b]:
+            continue
+        if boxes[b].weak and WEIGHT * (some[b] - links[b]) / max(tagged[b], 1) < usual:
+            kept[b] = False
+        elif 2 * links[b] > some[b] and 2 * up[b] < n[b]:
+            kept[b] = False
+        elif not sure and boxes[b].tag in LOOSE and not up[b]:
+            kept[b] = False
+    menu = (2 * linked > chars) & ~high & (not sure)
+    return [x.text for x, m in zip(lines, menu, strict=True) if kept[x.box] and not m]
 
 
 def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    return "\n\n".join(content(parser.lines, parser.outer, parser.whole))
+    return "\n\n".join(content(parser.lines, parser.boxes))
 
 
 def _extracted(batches):
