@@ -1,14 +1,18 @@
-"""Document fingerprints by SpotSigs: chains of content words that follow common-word anchors.
-
-After each anchor the next ``CHAIN`` words that aren't common form a chain, hashed with its anchor.
-A document's signatures are the set of these hashes; sets are kept with their length, and two sets are
-only intersected if their lengths allow the wanted Jaccard (min / max >= threshold).
+"""Document fingerprints by SpotSigs: chains of content words that follow spots.
+
+Spots are common-word anchors and, so that texts without any have spots too, one content word in
+``EVERY``, told by its hash.  After each spot the next ``CHAIN`` words that aren't common form a chain,
+hashed with its spot.  A document's signatures are the set of these hashes.  Sets are partitioned by
+their length, in steps of one over the threshold: a set can only be as like as the threshold to sets of
+its own partition and the two beside it, and there only if the lengths themselves allow it; what is left
+is intersected.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterable
 
 import numpy as np
@@ -23,6 +27,9 @@ COMMON = "the of and to in is that it for on with as are be was at by this from
 # Those that begin a chain: the most frequent few of each language.
 ANCHORS = "the of and to der die und den le la de et el los y que".split()
 CHAIN = 2
+EVERY = 4
+THRESHOLD = 0.1  # likeness below it counts as none
+MOST_RANGES = 20_000  # ranges of documents that the driver knows boundaries of; beyond it ranges grow
 
 
 class Words(dict):
@@ -46,8 +53,7 @@ class Words(dict):
 def signatures(text: bytes, words: Words) -> np.ndarray:
     """Sorted distinct 32-bit signatures of a text (UTF-8; ASCII case is ignored).
 
-    The text's start counts as an anchor, so any text with a word has a signature; without words the
-    set is empty.
+    The text's start is a spot, so any text with a word has a signature; without words the set is empty.
     """
     split = text.lower().split()
     h = np.fromiter(map(words.__getitem__, split), np.uint64, len(split))
@@ -57,28 +63,39 @@ def signatures(text: bytes, words: Words) -> np.ndarray:
         return np.zeros(0, np.uint32)
     if not len(content):
         return np.array([mix(h.sum(dtype=np.uint64, keepdims=True))[0] >> np.uint64(32)], np.uint32)
-    at = np.flatnonzero(kind == 3)
-    after = np.cumsum(kind == 0)[at]  # content words before the anchor: the chain's first
-    anchor = np.concatenate(([np.uint64(7)], h[at]))
+    at = np.flatnonzero((kind == 3) | (kind == 0) & ((h >> np.uint64(2)) % np.uint64(EVERY) == 0))
+    after = np.cumsum(kind == 0)[at]  # content words up to the spot: the chain begins after them
+    spot = np.concatenate(([np.uint64(7)], h[at]))
     after = np.concatenate(([0], after))
     padded = np.concatenate((content, np.zeros(CHAIN, np.uint64)))
     whole = after < len(content)
-    s = mix(anchor[whole])
+    s = mix(spot[whole])
     for j in range(CHAIN):
         s = mix(s + padded[after[whole] + j] * np.uint64(2 * j + 3))
     return distinct_sorted((s >> np.uint64(32)).astype(np.uint32))
 
 
-def likeness(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> float:
-    """Jaccard of two sorted sets; 0 without looking if their lengths can't reach ``threshold``.  Two empty sets are alike."""
+def length_partition(n: int, threshold: float = THRESHOLD) -> int:
+    """Partition of sets of ``n`` signatures: lengths from one power of 1 / threshold to the next."""
+    return int(math.log(max(n, 1)) / -math.log(threshold) + 1e-9)
+
+
+def likeness(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
+    """Jaccard of two sorted sets, 0 if it is below ``threshold``; two empty sets are alike.
+
+    Sets of partitions that aren't neighbours, or whose lengths can't reach the threshold, aren't intersected.
+    """
     if not len(a) and not len(b):
         return 1.0
-    if min(len(a), len(b)) < threshold * max(len(a), len(b)) or not len(a) or not len(b):
+    if not len(a) or not len(b):
+        return 0.0
+    if threshold and (abs(length_partition(len(a), threshold) - length_partition(len(b), threshold)) > 1 or min(len(a), len(b)) < threshold * max(len(a), len(b))):
         return 0.0
     both = np.concatenate((a, b))
     both.sort()
     shared = int((both[1:] == both[:-1]).sum())
-    return shared / (len(both) - shared)
+    value = shared / (len(both) - shared)
+    return value if value >= threshold else 0.0
 
 
 def fingerprint(s: np.ndarray) -> str:
@@ -93,13 +110,13 @@ def _neighbours(batches: Iterable[pa.RecordBatch]):
         for part in rowwise(batch, 256):
             out: list[list] = [[] for _ in NAMES]
             for doc, raw, bucket, ahead in zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text")), part.column("bucket").to_pylist(), part.column("ahead").to_pylist(), strict=True):
-                own, text = signatures(raw, words), raw.decode()
+                own, text = signatures(raw, words), raw.decode("utf-8", "replace")
                 if held and held[0] == bucket:
                     _, id_, before, s = held
                     half = len(before) // 2
                     edited = (before[: len(before) - half] + text[:half]).encode()
                     e = signatures(edited, words)
-                    row = (id_, len(before), hashlib.sha256(edited).hexdigest(), fingerprint(s), fingerprint(e), likeness(s, e), likeness(s, own))
+                    row = (id_, len(before), hashlib.sha256(edited).hexdigest(), fingerprint(s), fingerprint(e), likeness(s, e), likeness(s, own), length_partition(len(s)))
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
                 held = None if ahead else (bucket, doc, text, own)
@@ -113,26 +130,26 @@ def neighbour_fingerprints(docs: DataFrame, rows_in_range: int = 5000) -> DataFr
     Rows are in descending doc_id (null last, ties by text); after the last comes the first, and a
     single row is its own next.  Null texts count as empty.  Ranges of doc_id are dealt out with their
     texts once; each range also gets a copy of the next range's first row.  The driver learns one
-    boundary for each range of about ``rows_in_range`` rows, no texts.
+    boundary for each range of about ``rows_in_range`` rows (more where there would be more than
+    MOST_RANGES ranges), no texts.  Bytes that aren't UTF-8 are replaced.  Only doc_id and text are read.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = d.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("at"))
     n = known.count()
     spark = docs.sparkSession
-    parts = max(1, min(20_000, -(-n // rows_in_range)))
-    bounds = sorted(set(known.approxQuantile("at", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 and n else []
-    bounds = [int(b) for b in bounds]
-    bucket = F.lit(0)
+    parts = max(1, min(MOST_RANGES, -(-n // rows_in_range)))
+    bounds = sorted({int(b) for b in known.approxQuantile("at", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
     at = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    if bounds:
-        edges = F.array(*[F.lit(b) for b in bounds]) if len(bounds) <= 64 else None
-        table = spark.createDataFrame([(bounds,)], "edges array<bigint>") if edges is None else None
-        d = d.crossJoin(F.broadcast(table)) if table is not None else d.withColumn("edges", edges)
-        # places of doc_id among the boundaries, largest ids first
-        bucket = F.size(F.filter("edges", lambda b: b > at))
-        d = d.withColumn("bucket", bucket).drop("edges")
-    else:
-        d = d.withColumn("bucket", bucket)
+    bucket = F.lit(0)
+    if bounds:  # places of doc_id among the boundaries, largest ids first, in two steps: runs of boundaries, then one run
+        run = math.isqrt(len(bounds)) + 1
+        runs = [bounds[i : i + run] for i in range(0, len(bounds), run)]
+        table = spark.createDataFrame([([r[0] for r in runs], runs)], "firsts array<bigint>, runs array<array<bigint>>")
+        d = d.crossJoin(F.broadcast(table))  # one row
+        before = F.size(F.filter("firsts", lambda b: b <= at))
+        upto = F.when(before > 0, (before - 1) * run + F.size(F.filter(F.get("runs", before - 1), lambda b: b <= at))).otherwise(0)
+        bucket = F.lit(len(bounds)) - upto
+    d = d.select("doc_id", "text", bucket.cast("int").alias("bucket"))
     heads = sorted((r["bucket"], r["at"]) for r in d.groupBy("bucket").agg(F.max(at).alias("at")).collect())  # one for each range
     if not heads:
         return d.mapInArrow(_neighbours, SCHEMA)
@@ -144,6 +161,6 @@ def neighbour_fingerprints(docs: DataFrame, rows_in_range: int = 5000) -> DataFr
     return dealt.mapInArrow(_neighbours, SCHEMA)
 
 
-NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "length_partition"]
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32()]
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, length_partition int"
