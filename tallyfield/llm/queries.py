@@ -66,24 +66,26 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_mixing, op4_substring_dedup, op5_ngram_join, op6_chat_format, op7_quality_rules, op8_html_extraction, op9_packing, op10_quality_classifier)} | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {
-    "op6_chat_format": """
-WITH r AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-                  coalesce(CAST(floor(turn / 256.0) AS BIGINT), -1) AS segment FROM conversations),
-p AS (SELECT DISTINCT conv_id, role AS participant FROM r WHERE role <> 'system'),
+    "op6_chat_format": r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g') AS text,
+                  coalesce(CAST(floor(turn / 256.0) AS BIGINT), -1) AS segment, row_number() OVER () AS n FROM conversations),
+p AS (SELECT DISTINCT conv_id AS of, role AS participant FROM r WHERE role <> 'system'),
 x AS (SELECT r.*, participant,
              CASE WHEN role = 'system' THEN '<|system|>' WHEN role = participant THEN '<|assistant|>'
-                  ELSE '<|user:' || role || '|>' END || chr(10) AS head
-      FROM r JOIN p USING (conv_id)),
+                  ELSE '<|user:' || replace(replace(replace(role, '%', '%25'), '|', '%7C'), chr(10), '%0A') || '|>' END || chr(10) AS head
+      FROM r JOIN p ON conv_id IS NOT DISTINCT FROM of),
 y AS (SELECT *, length(head) + length(text) + 8 AS size FROM x),
 z AS (SELECT *, sum(size) OVER (PARTITION BY conv_id, segment, participant
-                                ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM y)
-SELECT conv_id, segment, participant,
-       string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
-       coalesce(string_agg(CASE WHEN role = participant THEN CAST(CAST(upto - size + length(head) AS BIGINT) AS VARCHAR)
-                || '-' || CAST(CAST(upto - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY turn NULLS FIRST, role, text), '') AS mask,
-       count(*) AS n_turns,
-       CAST(sum(CASE WHEN role = participant THEN size - length(head) - 1 ELSE 0 END) AS BIGINT) AS n_masked
-FROM z GROUP BY conv_id, segment, participant
+                                ORDER BY turn NULLS FIRST, role, text, n ROWS UNBOUNDED PRECEDING) AS upto FROM y),
+g AS (SELECT conv_id, segment, participant,
+             string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text, n) AS text,
+             coalesce(string_agg(CASE WHEN role = participant THEN CAST(CAST(upto - size + length(head) AS BIGINT) AS VARCHAR)
+                      || '-' || CAST(CAST(upto - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY turn NULLS FIRST, role, text, n), '') AS mask,
+             count(*) AS n_turns,
+             CAST(sum(CASE WHEN role = participant THEN size - length(head) - 1 ELSE 0 END) AS BIGINT) AS n_masked
+      FROM z GROUP BY conv_id, segment, participant)
+SELECT *, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id, participant ORDER BY segment
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM g
 """,
 }
 if corpus_pipeline.ORACLE_SQL:
