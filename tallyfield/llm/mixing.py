@@ -5,11 +5,15 @@ whole part is given to all; the fractional parts are rounded by the pivotal meth
 two documents exchange mass so that ``size1 * p1 + size2 * p2`` stays, at random in the direction that
 keeps both expectations, until one is 0 or 1.  One document of each pair is settled and the other goes
 on, so a block of documents folds to one residual; residuals of blocks meet in the next level of the
-tree, until a source has one residual, which is rounded at the end.  A source's taken words therefore
-miss its target by at most one document.
+tree, until a source has one residual.  About ``RESERVE`` documents of each source, chosen by hash, wait
+for it at the root.  There, from the longest on, each exchanges mass with all shorter ones together, as
+if they were one document: their common probability changes a little, the document is settled, and so
+on down to the shortest.  A source's taken words thus miss its target by about its shortest documents,
+and a document's expected copies are its share all the same.
 
 Blocks come from hashes of doc_id, so a hot source has as many blocks as it needs and no window or
-group holds more than about ``BLOCK`` documents; random numbers are hashes too, so reruns agree.
+group holds more than about ``BLOCK`` or ``RESERVE`` documents; random numbers are hashes too, so reruns
+agree.  The order of sources takes one task: tens or thousands of sources, not one for each document.
 """
 
 from __future__ import annotations
@@ -17,6 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK = 64
+RESERVE = 512
+MOST_SOURCES = 100_000  # rows of a table that is broadcast; beyond it joins by source are salted
+SALTS = 64
 MOST = 3  # a document's size counts at most so many times
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -52,8 +59,16 @@ def _unit(*cols) -> Column:
     return (F.pmod(F.xxhash64(*cols), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
+DOC = ("doc_id", "nth", "u", "size")
+SETTLED = "array<struct<p:double,doc_id:bigint,nth:bigint,u:bigint,size:bigint>>"
+
+
+def _doc(x: Column) -> list[Column]:
+    return [x[c].alias(c) for c in DOC]
+
+
 def _fold(items: Column, seed: int) -> Column:
-    """Pivotal rounding of an array of (u, size, p): struct of the residual and the settled ones."""
+    """Pivotal rounding of an array of (p, doc): struct of the residual and the settled ones."""
 
     def step(state: Column, x: Column) -> Column:
         c = state["held"]
@@ -67,15 +82,51 @@ def _fold(items: Column, seed: int) -> Column:
         settles_c = F.when(whole, (c["p"] <= 0) | (c["p"] >= 1)).when(rise, sc * (1 - c["p"]) <= sx * x["p"]).otherwise(sc * c["p"] <= sx * (1 - x["p"]))
         c_up = F.when(whole, c["p"]).when(rise, 1.0).otherwise(0.0)  # where c settles
         x_up = F.when(whole, x["p"]).when(rise, 0.0).otherwise(1.0)  # where x settles
-        settled = F.struct(F.when(settles_c, c["u"]).otherwise(x["u"]).alias("u"), F.when(settles_c, c_up).otherwise(x_up).alias("p"))
+        settled = F.struct(F.when(settles_c, c_up).otherwise(x_up).alias("p"), *_doc(F.when(settles_c, F.struct(*_doc(c))).otherwise(F.struct(*_doc(x)))))
         p = F.when(settles_c, x["p"] - gain / sx).otherwise(c["p"] + gain / sc)
-        left = F.struct(F.when(settles_c, x["u"]).otherwise(c["u"]).alias("u"), F.when(settles_c, x["size"]).otherwise(c["size"]).alias("size"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p"))
+        left = F.struct(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p"), *_doc(F.when(settles_c, F.struct(*_doc(x))).otherwise(F.struct(*_doc(c)))))
         return F.struct(left.alias("held"), F.concat(state["done"], F.array(settled)).alias("done"))
 
-    start = F.struct(F.element_at(items, 1).alias("held"), F.array().cast("array<struct<u:bigint,p:double>>").alias("done"))
+    start = F.struct(F.element_at(items, 1).alias("held"), F.array().cast(SETTLED).alias("done"))
     return F.aggregate(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), start, step)
 
 
+def _root(held: Column, items: Column, p: Column, seed: int) -> Column:
+    """The residual (or null) and the reserve, an array of docs of equal probability ``p``: all, with 0 or 1."""
+    total = F.aggregate(items, F.lit(0).cast("long"), lambda n, x: n + x["size"])
+    first = F.when(held.isNull(), F.array().cast(SETTLED)).otherwise(F.array(held))
+    # those of the reserve have no probability of their own: the group's
+    queue = F.concat(first, F.transform(F.sort_array(items, asc=False), lambda x: F.struct(F.lit(None).cast("double").alias("p"), *_doc(x))))
+
+    def step(state: Column, x: Column) -> Column:
+        size, q = x["size"].cast("double"), F.coalesce(x["p"], state["p"])
+        rest = F.when(x["p"].isNull(), state["left"] - x["size"]).otherwise(state["left"]).cast("double")
+        up, down = F.least(size * (1 - q), rest * state["p"]), F.least(size * q, rest * (1 - state["p"]))
+        none = (up + down) <= 0
+        draw = _unit(F.lit(seed), F.lit("root"), x["u"])
+        rise = draw * (up + down) < down
+        mine = F.when(none, q).when(rise, q + up / size).otherwise(q - down / size)
+        # where the shorter ones cannot make up for it, what is left of this one's part is drawn
+        one = F.when(mine >= 1 - 1e-9, 1.0).when(mine <= 1e-9, 0.0).when(_unit(F.lit(seed), F.lit("last"), x["u"]) < mine, 1.0).otherwise(0.0)
+        after = F.when(none, state["p"]).otherwise(state["p"] - F.when(rise, up).otherwise(-down) / rest)
+        return F.struct(rest.cast("long").alias("left"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), after)).alias("p"), F.concat(state["done"], F.array(F.struct(one.alias("p"), *_doc(x)))).alias("done"))
+
+    start = F.struct(total.alias("left"), p.alias("p"), F.array().cast(SETTLED).alias("done"))
+    return F.aggregate(queue, start, step)["done"]
+
+
+def by_source(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """``rows`` joined with ``rates`` (one row for each source, in column ``of``).
+
+    Rates are broadcast if their count allows it; else both sides are salted, so no source is one task.
+    """
+    if rates.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
+        return rows.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    many = rates.withColumn("salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
+    return salted.join(many, F.col("source").eqNullSafe(F.col("of")) & (F.col("salt") == F.col("salt_of")), "left").drop("of", "salt", "salt_of")
+
+
 def mix_sources(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, sourced: bool = False) -> DataFrame:
     """Copies of each document: ``sizes`` (doc_id, size, source) -> doc_id, size, source_size, target, copies, taken
     (and source, if ``sourced``).
@@ -92,57 +143,51 @@ def mix_sources(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: in
     targets = stash(source_targets(docs.select("source", "size"), weights))
     counts = docs.where("size > 0").groupBy("source").agg(F.count("*").alias("k"))
     rates = targets.join(counts, targets["source"].eqNullSafe(counts["source"]), "left").select(targets["source"].alias("of"), "source_size", "target", F.coalesce("k", F.lit(0)).alias("k"))
-    told = docs.join(rates, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    told = told.withColumn("base", F.floor("rate").cast("long")).withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.col("base")).otherwise(0.0))
-    told = stash(told.select("doc_id", "size", "source", "source_size", "target", "base", "p", "k", "u"))
-
-    # level 0: blocks by hash; each further level: blocks of residuals, until one is left for each source
-    settled = []
-    level = told.where("p > 0").select("source", "k", "u", "size", "p")
-    for depth in range(12):
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rates = stash(rates.withColumn("base", F.floor(rate).cast("long")).withColumn("p", rate - F.floor(rate)))
+
+    # the reserve waits for the root; of the others, level 0 has blocks by hash, and each further level
+    # blocks of residuals, until one is left for each source
+    told = by_source(docs, rates.select("of", "k", "p")).withColumn("p", F.when(F.col("size") > 0, F.col("p")).otherwise(0.0))
+    waits = F.pmod(F.xxhash64(F.lit(seed), F.lit("wait"), "u"), F.greatest(F.lit(1), F.ceil(F.col("k") / RESERVE)).cast("long")) == 0
+    told = stash(told.withColumn("waits", waits))
+    plain = told.where("p = 0").select("source", F.lit(0.0).alias("p"), "doc_id", "nth", "u", "size")
+    settled, root = [plain], None
+    level = told.where("p > 0 and not waits").select("source", "k", "p", "doc_id", "nth", "u", "size")
+    while level.limit(1).count():
         blocks = F.greatest(F.lit(1), F.ceil(F.col("k") / BLOCK)).cast("long")
+        depth = len(settled)
         grouped = level.withColumn("blocks", blocks).groupBy("source", "blocks", F.pmod(F.xxhash64(F.lit(seed + depth), "u"), F.col("blocks")).alias("block"))
-        folded = grouped.agg(F.array_sort(F.collect_list(F.struct("u", "size", "p"))).alias("items")).withColumn("out", _fold(F.col("items"), seed + depth)).select("source", "blocks", "out")
-        folded = stash(folded)
-        settled.append(folded.select(F.explode("out.done").alias("d")).select("d.u", "d.p"))
-        last = folded.where("blocks = 1").select(F.col("out.held.u").alias("u"), F.when(_unit(F.lit(seed), F.lit("last"), "out.held.u") < F.col("out.held.p"), 1.0).otherwise(0.0).alias("p"))
-        settled.append(last)
-        level = folded.where("blocks > 1").select("source", F.col("blocks").alias("k"), "out.held.u", "out.held.size", "out.held.p")
-        if not level.limit(1).count():
-            break
+        folded = grouped.agg(F.sort_array(F.collect_list(F.struct("u", "p", "doc_id", "nth", "size"))).alias("items"))
+        folded = stash(folded.withColumn("out", _fold(F.transform("items", lambda x: F.struct(x["p"].alias("p"), *_doc(x))), seed + depth)).select("source", "blocks", "out"))
+        settled.append(folded.select("source", F.explode("out.done").alias("d")).select("source", "d.*"))
+        held = folded.where("blocks = 1").select("source", F.col("out.held").alias("held"))
+        root = held if root is None else root.unionByName(held)
+        level = folded.where("blocks > 1").select("source", F.col("blocks").alias("k"), "out.held.*")
+    waiting = told.where("p > 0 and waits").groupBy("source").agg(F.max("p").alias("p"), F.collect_list(F.struct("size", "u", "doc_id", "nth")).alias("items"))
+    if root is not None:
+        # a source has at most one residual; one without reserve is rounded by itself
+        root = root.withColumnRenamed("source", "of")
+        ends = waiting.join(root, F.col("source").eqNullSafe(F.col("of")), "full").select(F.coalesce("source", "of").alias("source"), F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("items", F.array().cast("array<struct<size:bigint,u:bigint,doc_id:bigint,nth:bigint>>")).alias("items"), "held")
+    else:
+        ends = waiting.withColumn("held", F.lit(None).cast(SETTLED[6:-1]))
+    settled.append(stash(ends.withColumn("done", _root(F.col("held"), F.col("items"), F.col("p"), seed)).select("source", F.explode("done").alias("d"))).select("source", "d.*"))
     decided = settled[0]
-    for s in settled[1:]:
-        decided = decided.unionByName(s)
-    out = told.join(decided.select("u", F.col("p").alias("up")), "u", "left")
-    copies = (F.col("base") + F.when(F.col("p") > 0, F.coalesce(F.round("up").cast("long"), F.lit(0))).otherwise(0)).alias("copies")
-    out = stash(out.select("doc_id", "size", "source", "source_size", "target", "u", copies))
-    out = out.join(_change(out), "u", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
+    for x in settled[1:]:
+        decided = decided.unionByName(x)
+    out = by_source(decided, rates.select("of", "source_size", "target", "base"))
+    copies = F.when(F.col("size") > 0, F.col("base") + F.round("p").cast("long")).otherwise(F.lit(0).cast("long"))
+    out = out.withColumn("copies", F.when(F.col("source_size") > 0, copies).otherwise(F.lit(0).cast("long")))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["source"] if sourced else []))
 
 
-def _change(out: DataFrame) -> DataFrame:
-    """u, change: what the root pays out.  The last rounded residual of a source may be a long document;
-    the words that it misses or has too many are settled by a few shorter documents, longest first,
-    taken from a fixed number for each power of two of sizes."""
-    miss = out.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("miss"))
-    told = out.where("size > 0").join(miss.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    able = told.where("size <= abs(miss) and ((miss > 0 and copies < %d) or (miss < 0 and copies > 0))" % MOST)
-    able = able.withColumn("s", F.struct("size", "u")).groupBy("of", F.floor(F.log2("size")).alias("power")).agg(F.max("miss").alias("miss"), F.array_distinct(F.array(F.max("s"), F.min("s"), F.max_by("s", F.xxhash64("u")), F.min_by("s", F.xxhash64("u")))).alias("few"))
-    by = able.groupBy("of").agg(F.max("miss").alias("miss"), F.sort_array(F.flatten(F.collect_list("few")), asc=False).alias("few"))
-    start = F.struct(F.abs("miss").alias("left"), F.array().cast("array<bigint>").alias("took"))
-    paid = F.aggregate("few", start, lambda s, x: F.when(x["size"] <= s["left"], F.struct((s["left"] - x["size"]).alias("left"), F.concat(s["took"], F.array(x["u"])).alias("took"))).otherwise(s))
-    return by.select(F.explode(paid["took"]).alias("u"), F.signum("miss").cast("long").alias("change"))
-
-
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) with each row repeated as often as the mix takes it.
+    """``docs`` (text, source, ...) with each row repeated as often as the mix takes it.
 
-    Rows of the same doc_id, source and size, in the order of their texts, get a count of the plan each.
+    Rows are told apart by their number, not by doc_id, so ids may be null or repeated; for that ``docs``
+    must be a table that is read in the same order each time, as Parquet files are.
     """
-    sized = docs.withColumn("__size", words(F.col("text")))
-    plan = mix_sources(sized.select("doc_id", "source", F.col("__size").alias("size")), weights, seed, sourced=True)
-    copies = plan.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__from"), F.col("size").alias("__of")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__all"))
-    same = sized["doc_id"].eqNullSafe(F.col("__id")) & sized["source"].eqNullSafe(F.col("__from")) & (F.col("__size") == F.col("__of"))
-    nth = F.row_number().over(Window.partitionBy("__id", "__from", "__of").orderBy("text"))
-    kept = sized.join(copies, same).withColumn("__copies", F.get("__all", F.when(F.size("__all") > 1, nth - 1).otherwise(0)))
-    return kept.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    plan = mix_sources(rows.select(F.col("__row").alias("doc_id"), "source", words(F.col("text")).alias("size")), weights, seed)
+    kept = rows.join(plan.where("copies > 0").select(F.col("doc_id").alias("__row"), F.col("copies").alias("__copies")), "__row")
+    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
