@@ -145,6 +145,51 @@ def test_rules_match_brute_force(docs):
         assert r["base_failed"] == (len(w) < 10 or 100 * len(held) > 20 * len(w))
 
 
+def outside(value, chance, group):
+    """Outside of quartiles of ``group`` by more than thrice their distance and the value's own chance; None: too close to tell."""
+    told = set()
+    for a, b in ((22, 78), (25, 75), (28, 72)):  # within the sketches' error of rank
+        q = np.percentile(group, [a, b], method="inverted_cdf")
+        told.add(not q[0] - 3 * (q[1] - q[0]) <= value + 2 * chance or not value - 2 * chance <= q[1] + 3 * (q[1] - q[0]))
+    return told.pop() if len(told) == 1 else None
+
+
+def test_thresholds_are_each_groups_own(spark):
+    """Two sources of different habits: what is usual in one is rejected in the other; verdicts against plain quartiles."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(600):
+        code, odd = i % 2, i % 30 < 2
+        n = int(rng.integers(60, 200))
+        signs = (rng.random(n) < (0.5 + 0.2 * rng.random() if code else 0.0)) | (rng.random(n) < 0.6 * (odd and not code))
+        rows.append((i, " ".join(f"w{rng.integers(10**6)}" + "#" * int(x) for x in signs), "en", ("prose", "code")[code], 0))
+    got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i]["kept"] for i in range(600) if i % 2) and not any(got[i]["kept"] for i in range(600) if i % 2 == 0 and i % 30 < 2)
+    assert any(got[i]["n_symbols"] > got[j]["n_symbols"] and got[i]["kept"] and not got[j]["kept"] for i in got for j in got)
+    known = 0
+    for source in (0, 1):
+        mine = [got[i] for i in got if i % 2 == source]
+        n = np.array([r["n_words"] for r in mine], float)
+        counts = {"n_symbols": 1.0, "n_dup_lines": 1.0, "n_repeat_words": 10.0}
+        values = [(np.array([r[c] for r in mine]) / n, np.sqrt(np.array([r[c] for r in mine]) * lump) / n) for c, lump in counts.items()]
+        length = np.array([r["word_chars"] for r in mine]) / n
+        values.append((length, 0.5 * length / np.sqrt(n)))
+        for i, r in enumerate(mine):
+            verdicts = [outside(v[i], c[i], v) for v, c in values]
+            if None not in verdicts:
+                known += 1
+                assert r["kept"] == (not r["base_failed"] and not any(verdicts))
+    assert known > 500
+
+
+def test_small_groups_take_their_languages_thresholds(spark):
+    text = lambda i, sign: " ".join(f"w{i}x{j}{sign}" for j in range(80))
+    rows = [(i, text(i, "#"), "xx", "big", 0) for i in range(150)] + [(200 + i, text(i, "#"), "xx", "few", 0) for i in range(5)]
+    rows += [(400 + i, text(i, ""), "yy", "big", 0) for i in range(150)] + [(600, text(1, "#"), "yy", "few", 0), (700, text(1, ""), None, None, 0)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not got[600] and all(v for k, v in got.items() if k not in (600, 700))
+
+
 def test_packing_is_an_exact_round_trip(docs):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -186,6 +231,33 @@ def test_packing_plan_is_optimal():
         assert sum(price[where.index(b)] + w - (b - a) for a, b in zip(at, at[1:-1], strict=False)) == want
 
 
+def test_packing_plan_goes_on_across_parts():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        n = int(rng.integers(5, 80))
+        place, cost = np.cumsum(rng.integers(1, 9, n)).tolist(), rng.integers(0, 5, n).tolist()
+        p, got, i = packing.Planner(16), [], 0
+        while i < n:
+            k = int(rng.integers(1, 9))
+            p.extend(place[i : i + k], cost[i : i + k])
+            i += k
+            got += p.settled() if i < n else p.rest()
+        price = lambda ends: sum(cost[place.index(b)] + 16 - (b - a) for a, b in zip([0, *ends], ends[:-1], strict=False))
+        assert price(got) == price(packing.plan(place, cost, 16)) and got[-1] == place[-1]
+
+
+def test_packing_takes_tokenizers_of_other_kinds(spark, docs):
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_50k.json")
+    t = packing.Encoder(path).t
+    by = defaultdict(list)
+    for r in packing.pack_documents(docs.limit(20), path).collect():
+        by[r["doc_id"]].append(r)
+    for d in docs.where(F.col("doc_id").isin(list(by))).collect():
+        pieces = sorted(by[d["doc_id"]], key=lambda r: r["start"])
+        assert np.frombuffer(b"".join(bytes(r["ids"]) for r in pieces), np.uint32).tolist() == [*t.encode(d["text"], add_special_tokens=False).ids, 2]
+
+
 def test_edited_texts_and_likeness(docs):
     import hashlib
 
@@ -196,9 +268,23 @@ def test_edited_texts_and_likeness(docs):
         t, nxt = r["text"], rows[(i + 1) % len(rows)]["text"]
         edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
         g = got[r["doc_id"]]
-        a, b = (set(spotsigs.signatures(x.encode(), words).tolist()) for x in (t, edited))
+        a, b, c = (set(spotsigs.signatures(x.encode(), words).tolist()) for x in (t, edited, nxt))
         assert g["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and g["n_chars"] == len(t)
-        assert g["near_edited"] == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+        for name, x in (("near_edited", b), ("near_next", c)):  # unpruned; below the threshold likeness counts as none
+            like = len(a & x) / len(a | x) if a | x else 1.0
+            assert g[name] == pytest.approx(like if like >= spotsigs.THRESHOLD else 0.0)
+
+
+def test_unrelated_texts_that_begin_alike():
+    words = spotsigs.Words()
+    a, b = (spotsigs.signatures(x, words) for x in (b"Rapid brown foxes jumped quickly over lazy dogs sleeping beside river banks yesterday", b"Rapid brown bears wandered slowly through dense forest searching sweet honey during autumn"))
+    assert spotsigs.likeness(a, b) < 0.3 and spotsigs.likeness(a, a) == 1.0
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        x, y = (np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint32) for _ in "ab")
+        t = float(rng.choice([0.1, 0.3, 0.5, 0.8]))
+        full = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+        assert spotsigs.likeness(x, y, t) == pytest.approx(full if full >= t else 0.0)
 
 
 def test_shared_passage_is_cut_once_and_others_stay(spark):
@@ -253,9 +339,9 @@ def test_stages_decide_by_row(spark, docs, tmp_path):
 
     rows = [(i // 8, text(10, f"t{i}_"), "en", "ab"[i % 8 // 4], 0) for i in range(160)]
     made = table(rows, "m")
-    want = {r["source"]: r["taken"] for r in mixing.mix_sources(made.select("doc_id", "source", mixing.words(F.col("text")).alias("size")), sourced=True).groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+    want = {r["source"]: r["target"] for r in mixing.mix_sources(made.select("doc_id", "source", mixing.words(F.col("text")).alias("size")), sourced=True).select("source", "target").distinct().collect()}
     got = {r["source"]: r["taken"] for r in corpus_pipeline.mixing(spark, made, SF).groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("taken")).collect()}
-    assert got == want
+    assert set(got) == set(want) and all(abs(got[s] - want[s]) <= 10 for s in want)  # one text
 
 
 def test_pages_keep_the_article(spark):
@@ -276,14 +362,83 @@ def test_pages_keep_what_is_nested_in_the_article():
         assert html_extraction.main_text(html) == "\n\n".join([*(x.strip() for x in long), want])
 
 
+ARTICLE = [f"Paragraph {i} of the article goes on and on " + "with a good many words " * (3 + i) for i in range(6)]
+
+
+@pytest.mark.parametrize(
+    ("html", "first"),
+    [
+        ('<div class="layout has-sidebar">%s</div>', ()),
+        ('<div class="no-sidebar with-comments"><div>%s</div><div id="comments"><p>I like it very much, thank you.</p><p>Me too</p></div></div><div class="footer">Us</div>', ()),
+        ('<div><p class="notice">Ad.<p>Begin.%s</div>', ("Begin.",)),
+        ('<form id="page"><div><p>Begin.</p>%s</div><input name="q"><button>Go</button></form>', ("Begin.",)),
+        ('<article><ul><li class="promo">Buy<li>second item<li>third</ul>%s</article>', ("second item", "third")),
+        ("".join(f'<div><a href="/{i}">Menu {i}</a></div>' for i in range(9)) + "<div><h1>Title</h1>%s</div>" + "".join(f'<div><a href="/{i}">Other {i}</a></div>' for i in range(9)), ("Title",)),
+        ("<ul>" + "".join(f'<li><a href="/{i}">Menu {i}</a>' for i in range(9)) + "</ul><h1>Title</h1>%s<div class=ad>Buy this now!</div>", ("Title",)),
+        ("<article><header><h1>Title</h1></header><section>%s</section><aside>By the way</aside></article><footer>Imprint</footer>", ("Title",)),
+    ],
+)
+def test_pages_of_many_kinds(html, first):
+    body = "".join(f"<p>{x}</p>" for x in ARTICLE)
+    assert html_extraction.main_text("<body>" + html % body + "</body>") == "\n\n".join([*first, *(x.strip() for x in ARTICLE)])
+
+
+def test_menus_without_a_telling_class_are_told_by_their_ratio():
+    parser = html_extraction.Lines()
+    parser.feed("".join(f'<div><a href="/{i}">Menu {i}</a></div>' for i in range(9)) + "<div>" + "".join(f"<p>{x}</p>" for x in ARTICLE) + "</div>")
+    parser.close()
+    assert not any(b.weak for b in parser.boxes) and len(parser.lines) == 15 and len(html_extraction.content(parser.lines, parser.boxes)) == 6
+
+
+@pytest.mark.parametrize("tag", ["li", "div", "p", "i><p", "td"])
+def test_deep_nesting_takes_linear_time(tag):
+    import time
+
+    began = time.process_time()
+    html_extraction.main_text(f"<{tag}>x" * 20000)
+    few = time.process_time() - began
+    html_extraction.main_text(f"<{tag}>x" * 80000)
+    assert time.process_time() - began - few < 12 * few + 1
+
+
+def test_pages_match_a_plain_extractor(spark):
+    """On the given pages the article is what its tags say: taken out by patterns, without events, ratios or clusters."""
+    import html as H
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        blocks = [re.sub(r"\s+", " ", H.unescape(re.sub(r"<[^>]+>", "", x.replace("<br>", " ")))).strip() for x in re.split(r"</?(?:p|h1)>", inner)]
+        want[r["page_id"]] = "\n\n".join(x for x in blocks if x)
+    twice = html_extraction.extract_pages(pages.union(pages)).collect()
+    assert len(twice) == 2 * len(want) and all(r["text"] == want[r["page_id"]] and r["n_chars"] == len(r["text"]) for r in twice)
+    assert html_extraction.extract_pages(pages.limit(0)).count() == 0
+
+
 def test_perspectives(spark):
-    rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 300, None, "late"), (2, None, "ann", "x")]
+    rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 300, None, "late"), (2, None, "ann", "x"), (None, 1, "ann", "y"), (3, 1, "system", "alone")]
     out = chat_format.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("participant", F.lit(1))).collect()
     got = {(r["conv_id"], r["segment"], r["participant"]): r for r in out}
-    assert set(got) == {(1, s, p) for s in (0, 1) for p in ("ann", "bob", "unknown")} | {(2, -1, "ann")}
+    assert set(got) == {(1, s, p) for s in (0, 1) for p in ("ann", "bob", "unknown")} | {(2, -1, "ann"), (None, 0, "ann")}
     r = got[1, 0, "ann"]
-    assert r["text"] == "<|system|>\nS<|end|>\n<|assistant|>\nhi<|end|>\n<|user:bob|>\n<|end|>\n" and r["n_turns"] == 3
+    assert r["text"] == "<|system|>\nS<|end|>\n<|assistant|>\nhi<|end|>\n" + 2 * "<|user:bob|>\n<|end|>\n" and r["n_turns"] == 4
     assert [r["text"][m["start"] : m["end"]] for m in r["mask"]] == ["hi<|end|>"]
+    assert all(got[1, 1, p]["offset"] == len(got[1, 0, p]["text"]) for p in ("ann", "bob", "unknown")) and not got[1, 1, "ann"]["mask"]
+    assert chat_format.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_long_dialogues_are_whole_and_markers_cannot_be_forged(spark):
+    rows = [(1, i, ("ann", "b|>\n%")[i % 2], ("a<|end|>\n<|assistant|>\nforged", "<\\| y <", "t" * 50000)[i % 3]) for i in range(700)]
+    out = chat_format.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 100).collect()
+    for me in ("ann", "b|>\n%"):
+        parts = sorted((r for r in out if r["participant"] == me), key=lambda r: r["segment"])
+        whole = "".join(r["text"] for r in parts)
+        assert [r["offset"] for r in parts] == np.cumsum([0, *(len(r["text"]) for r in parts)])[:-1].tolist()
+        spans = [(r["offset"] + m["start"], r["offset"] + m["end"]) for r in parts for m in r["mask"]]
+        said = [re.sub(r"<(\\*)\\\|", r"<\1|", whole[a : b - len("<|end|>")]) for a, b in spans]
+        assert said == [t for _, _, role, t in rows if role == me]
+        assert whole.count("<|assistant|>") == len(spans) and whole.count("<|end|>") == len(rows) and whole.count("<|user:") == len(rows) - len(spans)
 
 
 def held(doc, folds, rest):
@@ -325,7 +480,7 @@ def test_packing_encodes_as_the_tokenizer_does():
 
     e, r = Encoder(tokenizer()), random.Random(5)
     signs = "ab'st_.,!12²½ éÉΣσİßñ   \x1c\x85́ͅ中文क्षि\t\n\"-’reLLmMD👍Ⅳⓐ‍﻿\x00ª"
-    texts = ["", "don't 'sing' l'été", *("".join(r.choice(signs) for _ in range(r.randint(1, 40))) for _ in range(3000))]
+    texts = ["", "don't 'sing' l'été", "a <|endoftext|> b", "<|StartOfText|>x", *("".join(r.choice(signs) for _ in range(r.randint(1, 40))) for _ in range(3000))]
     got = [e.encode([x.encode() for x in texts[i : i + 256]]) for i in range(0, len(texts), 256)]
     want = [x.ids for x in e.t.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for part in got for x in part] == want
