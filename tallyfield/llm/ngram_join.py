@@ -1,26 +1,28 @@
 """N-gram Jaccard join: count vectors of hashed shingles, indexed as points, bounded by summed minima.
 
-Every document is its set of distinct word shingles.  Shingles are hashed into groups and the group
-counts form a point.  If ``|A n B| >= t |A u B|`` then ``A`` and ``B`` differ in at most
-``D = a (1 - t) / t`` shingles, ``a`` being the smaller size, so among ``D + 1`` blocks of groups one
-holds equal counts.  Those equal sub-points are the top of the tree: a size class and one block's
-counts name a *cell*, cells are dealt over the cluster, and no pair is formed to find them.  Inside a
-cell points lie in an R-tree (packed nodes with per-coordinate maxima); ``sum(min(p, q))`` over the
-coordinates of two nodes or two points bounds the shared shingles from above, and only pairs that the
-bound lets through are verified on the exact sets.
-
-Exactness.  A block in which both points are empty says nothing and is left out; so are one-shingle
-blocks where a class has 48 blocks or more.  That a true pair then meets in no cell needs its few
-differing shingles to fall one by one into every filled block; small classes use several independent
-partitions into blocks so that the odds stay below about 1e-9 for a pair just at the threshold, in
-the range of the odds that two shingles share a 64-bit hash.  Classes with D <= 2 use the whole set
-and all sets less one shingle; a set that may hold another and two shingles more gives all sets less
-two shingles besides (351 at most), which is exact.
-
-Large groups.  Equal sets collapse to their smallest id before anything is dealt out.  In a cell only
-the most central point is joined to the others (a linear star); pairs inside one component are then
-settled, and what is left, points outside a cell's main component, is compared in blocks with the
-cell's points, bound first.
+Every text is its set of distinct word shingles.  Shingles are hashed into groups and the group counts
+form a point.  If ``|A n B| >= t |A u B|`` then ``A`` and ``B`` differ in at most ``D = a (1 - t) / t``
+shingles, ``a`` being the smaller size, so among ``D + 1`` blocks of groups one holds equal counts.
+A size class and one block's equal counts name a *cell*: cells route points over the cluster without
+forming a pair, and each open cell holds an R-tree of its points (packed nodes with per-coordinate
+maxima).  ``sum(min(p, q))`` over the coordinates of two nodes or two points bounds the shared shingles
+from above; a second vector, of many more groups and their counts' parities, bounds them again by the
+least number of differing shingles.  Pairs that both bounds let through are verified on the exact sets.
+
+Exactness.  Blocks of one shingle name no cell (a frequent shingle would be a cell of its own).  That a
+true pair then meets in no cell needs its few differing shingles to fall one by one into every other
+block; classes of few blocks use several independent partitions into blocks, ``PARTITIONS`` over the
+number of blocks, so that the odds stay below about 1e-9 for a pair just at the threshold, in the range
+of the odds that two shingles share a 64-bit hash.  Classes with D <= 2 use the whole set and all sets
+less one shingle; a set that may hold another and two shingles more gives all sets less two shingles
+besides (351 at most), which is exact.
+
+Large groups.  Equal sets are one node before anything is dealt out.  In a cell only one point, the most
+central, is joined to the others (a linear star); what proves to be linked is contracted, cells with
+more than one component left get a star from a point outside their main component, and so on while
+that settles a quarter of what is open.  Only points that are still outside a cell's main component
+are then compared, in blocks, with the cell's points, bounds first: clusters that link are gone by
+then, and what both bounds let through is close to the threshold.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from tallyfield.llm.common import WordHashes, as_bytes, components, distinct_sor
 GROUPS = 128  # coordinates of the point used for the bound
 NODE = 32  # points in a node of a cell's R-tree
 LEFT = 512  # points of one block of a cell's query set
+PARTITIONS = 52  # blocks that all partitions of a class have together, at least
 
 
 @functools.lru_cache
@@ -72,25 +75,43 @@ def cell_keys(s: np.ndarray, percent: int) -> np.ndarray:
             out.append(mix(np.concatenate(sums) ^ tag))
             continue
         m = most + 1
-        for rep in range(1 if m >= 48 else 3 if m >= 12 else 6):
+        for rep in range(-(-PARTITIONS // m)):
             x = mix(s + np.uint64((rep + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
             block = ((x >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             block = block[order]
             starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-            filled = np.diff(np.append(starts, n)) >= (2 if m >= 48 else 1)
+            filled = np.diff(np.append(starts, n)) >= 2
             # a random linear hash of the block's group counts: equal counts, equal hash
             counts = np.add.reduceat(mix(x ^ np.uint64(0xD6E8FEB86659FD93))[order], starts)
             out.append(mix(counts[filled] ^ mix((block[starts][filled].astype(np.uint64) << np.uint64(8)) + tag + np.uint64(rep + 1))))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+SIGNED = "doc_id long, n long, digest binary, keys array<long>, point binary, odd binary"
+
+
 def point(s: np.ndarray) -> np.ndarray:
     """Group counts; a set too large for one byte a group gets the point that is never pruned."""
     v = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
     return (v if v.max(initial=0) < 255 else np.full(GROUPS, 255)).astype(np.uint8)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Parities of the counts of at least four groups a shingle (a power of two), eight to a byte."""
+    groups = max(1024, 1 << (4 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def differing(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Lower bound of the differing shingles of a set and several; the longer vectors are folded."""
+    width = min(one.shape[-1], many.shape[-1])
+    one = np.bitwise_xor.reduce(one.reshape(-1, width), axis=0)
+    many = np.bitwise_xor.reduce(many.reshape(len(many), -1, width), axis=1)
+    return np.bitwise_count(many ^ one).sum(axis=1, dtype=np.int64)
+
+
 def shared_at_least(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (na + nb) // (100 + percent))
 
@@ -105,17 +126,18 @@ def _signatures(k: int, percent: int, batches):
     hashes = WordHashes()
     for batch in batches:
         for part in rowwise(batch):
-            n, digest, keys, points = [], [], [], []
+            n, digest, keys, points, odd = [], [], [], [], []
             for text in as_bytes(part.column("text")):
                 s = distinct_sorted(shingle_hashes(hashes.of(text.lower().split()), k))
                 n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                digest.append(digest_of(s))
                 keys.append(cell_keys(s, percent).view(np.int64))
                 points.append(point(s).tobytes())
+                odd.append(parities(s).tobytes())
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys))), pa.array(points, pa.binary())],
-                names=["doc_id", "n", "digest", "keys", "point"],
+                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys))), pa.array(points, pa.binary()), pa.array(odd, pa.binary())],
+                names=["doc_id", "n", "digest", "keys", "point", "odd"],
             )
 
 
@@ -140,11 +162,15 @@ def _met(batches):
 
 def _bounded(percent: int, batches):
     for batch in batches:
-        if batch.num_rows:
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS) for c in ("pa", "pb"))
-            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            keep = minima(p, q) >= shared_at_least(na, nb, percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+        for part in rowwise(batch, 4096):
+            p, q = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS) for c in ("pa", "pb"))
+            na, nb = (part.column(c).to_numpy() for c in ("na", "nb"))
+            need = shared_at_least(na, nb, percent)
+            keep = minima(p, q) >= need
+            odd = [[np.frombuffer(x, np.uint8) for x in part.column(c).to_pylist()] for c in ("oa", "ob")]
+            for i in np.flatnonzero(keep):
+                keep[i] = na[i] + nb[i] - differing(odd[0][i], odd[1][i][None])[0] >= 2 * need[i]
+            yield part.select(["a", "b"]).filter(pa.array(keep))
 
 
 def _verified(percent: int, batches):
@@ -160,46 +186,66 @@ def _verified(percent: int, batches):
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def digest_of(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def _sets(k: int, batches):
     hashes = WordHashes()
     for batch in batches:
         for part in rowwise(batch):
-            sets = [distinct_sorted(shingle_hashes(hashes.of(t.lower().split()), k)).tobytes() for t in as_bytes(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            sets = [distinct_sorted(shingle_hashes(hashes.of(t.lower().split()), k)) for t in as_bytes(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array([digest_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "shingles"])
 
 
 class Tree:
     """Points packed into nodes by size and leading counts; a node keeps its coordinates' maxima."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, odd: list[bytes]):
         order = np.lexsort((points[:, 1], points[:, 0], sizes))
         self.order, self.points, self.sizes, self.labels = order, points[order], sizes[order], labels[order]
         at = np.arange(0, len(order), NODE)
         self.high, self.least, self.most = np.maximum.reduceat(self.points, at), np.minimum.reduceat(self.sizes, at), np.maximum.reduceat(self.sizes, at)
-
-    def near(self, p: np.ndarray, n: int, label: int, percent: int) -> np.ndarray:
-        """Places of the points of another component that the bound cannot rule out."""
+        # parity vectors, by their width
+        odd = [odd[i] for i in order]
+        self.width = np.array([len(x) for x in odd])
+        self.row = np.zeros(len(odd), np.int64)
+        self.odd = {}
+        for w in set(self.width.tolist()):
+            mine = np.flatnonzero(self.width == w)
+            self.row[mine] = np.arange(len(mine))
+            self.odd[w] = np.frombuffer(b"".join([odd[i] for i in mine]), np.uint8).reshape(-1, w)
+
+    def near(self, p: np.ndarray, n: int, label: int, odd: bytes, percent: int) -> np.ndarray:
+        """Places of the points of another component that the bounds cannot rule out."""
         need = shared_at_least(np.maximum(self.least, -(-percent * n // 100)), np.int64(n), percent)
         nodes = (self.most * 100 >= percent * n) & (self.least * percent <= 100 * n) & (minima(self.high, p) >= need)
         at = (np.flatnonzero(nodes)[:, None] * NODE + np.arange(NODE)).ravel()
         at = at[at < len(self.order)]
         at = at[self.labels[at] != label]
-        return self.order[at[minima(self.points[at], p) >= shared_at_least(self.sizes[at], np.int64(n), percent)]]
+        at = at[minima(self.points[at], p) >= shared_at_least(self.sizes[at], np.int64(n), percent)]
+        mine, keep = np.frombuffer(odd, np.uint8), np.zeros(len(at), bool)
+        for w, rows in self.odd.items():
+            these = np.flatnonzero(self.width[at] == w)
+            if len(these):
+                sizes = self.sizes[at[these]]
+                keep[these] = sizes + n - differing(mine, rows[self.row[at[these]]]) >= 2 * shared_at_least(sizes, np.int64(n), percent)
+        return self.order[at[keep]]
 
 
 def _searched(percent: int, batches):
     """Rows sorted by (key, left block): each block of a cell's query set against the cell's tree."""
 
     def search(rows):
-        at, n, label, query, p = (np.concatenate(x) for x in zip(*rows, strict=True))
+        at, n, label, query, p, odd = (np.concatenate(x) for x in zip(*rows, strict=True))
         if not query.any():
             return
         a, b = [], []
         # one copy of each query: the block's own queries; all other rows are the cell
-        tree = Tree(p[~query], n[~query], label[~query])
+        tree = Tree(p[~query], n[~query], label[~query], odd[~query].tolist())
         inside = at[~query]
         for i in np.flatnonzero(query):
-            found = inside[tree.near(p[i], int(n[i]), label[i], percent)]
+            found = inside[tree.near(p[i], int(n[i]), label[i], odd[i], percent)]
             a.append(np.minimum(found, at[i]))
             b.append(np.maximum(found, at[i]))
         a, b = np.concatenate(a), np.concatenate(b)
@@ -213,6 +259,7 @@ def _searched(percent: int, batches):
             continue
         key, block, at, n, label, query = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "id", "n", "label", "query"))
         p = np.frombuffer(b"".join(batch.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
+        odd = np.fromiter(batch.column("odd").to_pylist(), object, batch.num_rows)
         cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]))))
         for lo, hi in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
             now = (key[lo], block[lo])
@@ -222,7 +269,7 @@ def _searched(percent: int, batches):
                 # a very large cell is searched part by part: its queries stay (they sort first)
                 rows = [tuple(x[r[3]] for x in r) for r in rows if r[3].any()] if now == held else []
                 held = now
-            rows.append((at[lo:hi], n[lo:hi], label[lo:hi], query[lo:hi].astype(bool), p[lo:hi]))
+            rows.append((at[lo:hi], n[lo:hi], label[lo:hi], query[lo:hi].astype(bool), p[lo:hi], odd[lo:hi]))
     if rows:
         yield from search(rows)
 
@@ -231,50 +278,76 @@ def jaccard_links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataF
     """Links between different shingle sets and what stands for each document.
 
     ``docs`` needs doc_id (long) and text.  Returns (base, links, labels): base has doc_id, n (set
-    size) and rep (smallest doc_id with an equal set, null for an empty set); links has pairs a < b
-    of representatives found on the way, enough to connect every component; labels gives each linked
-    representative its component's smallest doc_id.
+    size) and node (a number of the set, null for an empty one); links has pairs a < b of nodes found
+    on the way, enough to connect every component; labels gives each linked node the least node of
+    its component.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = stash(texts.mapInArrow(functools.partial(_signatures, k, percent), "doc_id long, n long, digest binary, keys array<long>, point binary"))
-    reps = stash(base.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    mine = reps.select("digest", F.col("rep").alias("doc_id"))
-    keyed = base.where("size(keys) > 0").join(mine, ["digest", "doc_id"], "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
+    base = stash(texts.mapInArrow(functools.partial(_signatures, k, percent), SIGNED).withColumn("at", F.monotonically_increasing_id()))
+    nodes = stash(base.where("digest is not null").groupBy("digest").agg(F.min("at").alias("node")))
+    points = base.where("digest is not null").select(F.col("at").alias("id"), "n", "point", "odd")
+    keyed = base.where("size(keys) > 0").join(nodes.select(F.col("node").alias("at")), "at", "left_semi").select(F.explode("keys").alias("key"), F.col("at").alias("id"))
     cells = stash(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_met, "key long, id long").distinct())
-    points = base.where("digest is not null").select(F.col("doc_id").alias("id"), "n", "point").dropDuplicates(["id"])
 
     # the most central point of each cell: the one that meets most others over all its cells
     sized = cells.join(cells.groupBy("key").agg(F.count("*").alias("k")), "key")
-    central = sized.groupBy("id").agg(F.sum("k").alias("met"))
-    hubs = cells.join(central, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("low"))).alias("hub")).select("key", (-F.col("hub.low")).alias("hub"))
-    star = cells.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    pa_, pb_ = (points.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")) for x in "ab")
-    likely = star.join(pa_, "a").join(pb_, "b").mapInArrow(functools.partial(_bounded, percent), "a long, b long")
-    first = _verify(texts, stash(likely), k, percent)
-    labels = components(first)
-
-    # cells that the stars did not settle: points outside the main component, in blocks, against the cell
-    told = cells.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    by = told.groupBy("key", "label").agg(F.count("*").alias("k"))
-    main = by.groupBy("key").agg(F.max(F.struct("k", "label")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("all")).where("parts > 1").select("key", F.col("main.label").alias("main"), (F.col("all") - F.col("main.k")).alias("rest"))
-    open_ = told.join(main, "key").join(points, "id").withColumn("blocks", F.ceil(F.col("rest") / LEFT).cast("int"))
+    central = stash(sized.groupBy("id").agg(F.sum("k").alias("met")))
+
+    # stars from the centres, then from points outside each cell's main component; what was a star's
+    # centre has met its whole cell and leaves it
+    links, labels, rest = None, None, None
+    told = cells.withColumn("label", F.col("id"))
+    while True:
+        hubs = told.where("label <> main") if labels is not None else told
+        hubs = hubs.join(central, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("low"), "label")).alias("hub")).select("key", (-F.col("hub.low")).alias("hub"), F.col("hub.label").alias("of"))
+        met = told.join(hubs, "key")
+        star = met.where("label <> of").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        new = _verify(texts, base, stash(_likely(star, points, percent)), k, percent)
+        found = bool(new.limit(1).count())
+        links = new if links is None else links.unionByName(new)
+        if labels is None or found:
+            labels = components(links)
+        left = met.where("id <> hub").select("key", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        by = left.groupBy("key", "label").agg(F.count("*").alias("k"))
+        main = by.groupBy("key").agg(F.max(F.struct("k", "label")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("all")).where("parts > 1")
+        told = stash(left.join(main.select("key", F.col("main.label").alias("main"), (F.col("all") - F.col("main.k")).alias("rest")), "key"))
+        before, rest = rest, told.where("label <> main").count()
+        if not rest or not found or before is not None and 4 * rest > 3 * before:
+            break
+    if not rest:
+        return base.join(nodes, "digest", "left").select("doc_id", "n", "node"), links, labels
+
+    # what is left: points outside the main component, in blocks, against their cell
+    open_ = told.join(points, "id").withColumn("blocks", F.ceil(F.col("rest") / LEFT).cast("int"))
     cell = open_.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(False))
-    asked = open_.where("label <> main").withColumn("block", (F.xxhash64("id") % F.col("blocks") + F.col("blocks")).cast("int") % F.col("blocks")).withColumn("query", F.lit(True))
-    cols = ["key", "block", "id", "n", "label", "query", "point"]
+    asked = open_.where("label <> main").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("query", F.lit(True))
+    cols = ["key", "block", "id", "n", "label", "query", "point", "odd"]
     rows = cell.select(cols).unionByName(asked.select(cols))
     more = rows.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("query"), "id").mapInArrow(functools.partial(_searched, percent), "a long, b long").distinct()
-    second = _verify(texts, stash(more), k, percent)
-    links = first.unionByName(second)
+    second = _verify(texts, base, stash(more), k, percent)
+    links = links.unionByName(second)
     if second.limit(1).count():
         labels = components(links)
-    return base.join(reps, "digest", "left").select("doc_id", "n", "rep"), links, labels
+    return base.join(nodes, "digest", "left").select("doc_id", "n", "node"), links, labels
+
+
+def _likely(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs that both bounds let through."""
+    pa_, pb_ = (points.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
+    return pairs.join(pa_, "a").join(pb_, "b").mapInArrow(functools.partial(_bounded, percent), "a long, b long")
 
 
-def _verify(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verify(texts: DataFrame, base: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs of nodes whose exact sets are alike enough."""
     if not pairs.limit(1).count():
         return pairs
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stash(texts.join(asked, "doc_id", "left_semi").mapInArrow(functools.partial(_sets, k), "id long, shingles binary").dropDuplicates(["id"]))
+    asked = pairs.select(F.col("a").alias("at")).union(pairs.select("b")).distinct()
+    # a node's text is read again by its doc_id and told apart by its set's digest
+    one = stash(base.join(asked, "at", "left_semi").select(F.col("at").alias("id"), "doc_id", "digest"))
+    wanted = texts.join(one.select("doc_id").distinct(), "doc_id", "left_semi")
+    if one.where("doc_id is null").limit(1).count():
+        wanted = wanted.unionByName(texts.where("doc_id is null"))
+    sets = stash(wanted.mapInArrow(functools.partial(_sets, k), "digest binary, shingles binary").join(one.select("digest", "id"), "digest").select("id", "shingles").dropDuplicates(["id"]))
     sa, sb = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     return stash(pairs.join(sa, "a").join(sb, "b").mapInArrow(functools.partial(_verified, percent), "a long, b long"))
 
@@ -284,9 +357,11 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
 
     Lower-cases A-Z only; words are runs of anything but space, tab, LF, VT, FF, CR.  Fewer than
     ``k`` words make one shingle of the whole sequence; no words (null or blank text) make an empty
-    set linked with nothing, so such a row is its own component.  Rows that repeat a doc_id are one
-    node with one of their texts in the search; a null doc_id gets a null component.  Only doc_id and
-    text are read, so further columns of any name do no harm.
+    set linked with nothing, so such a row is its own component.  Rows that repeat a doc_id are linked
+    by their own texts; a null doc_id takes part, and its component is that of its text's links, or
+    null.  Only doc_id and text are read, so further columns of any name do no harm.
     """
     base, _, labels = jaccard_links(docs, k, percent)
-    return base.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
+    named = base.join(labels.withColumnRenamed("id", "node"), "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("of"))
+    least = named.where("of is not null").groupBy("of").agg(F.min("doc_id").alias("least"))
+    return named.join(least, "of", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
