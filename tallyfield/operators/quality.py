@@ -40,7 +40,7 @@ def broken_rules(contracts: Sequence[Contract]) -> Column:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free content hash of a table, with its schema."""
+    """Order-free content hash of a table, with its schema; a null is told apart from its neighbours' values."""
     cols = sorted(df.columns)
-    h = F.xxhash64(*cols)
+    h = F.xxhash64(*[x for c in cols for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
     return df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum((h % 1_000_003).cast("long")).alias("s")).select("n", F.sha2(F.concat_ws("|", F.lit(",".join(f"{c}:{dict(df.dtypes)[c]}" for c in cols)), "n", "x", "s"), 256).alias("fingerprint"))

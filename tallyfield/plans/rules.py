@@ -203,4 +203,4 @@ def st02_live_state(spark, sf_dir):
 
     at = F.struct("ts", "event_id")
     view = F.col("event_type") == "view"
-    return drain(spark, f"{sf_dir}/events.parquet", lambda e: e.groupBy("user_id").agg(F.max_by(F.when(view, F.col("value")), F.when(view, at)).alias("price"), F.max_by("event_id", at).alias("last_event")), "complete")
+    return drain(spark, f"{sf_dir}/events.parquet", lambda e: e.groupBy("user_id").agg(F.max_by(F.when(view, F.col("value")), F.when(view, at)).alias("price"), F.max_by("event_id", at).alias("last_event")), "update", ["user_id"])

@@ -266,35 +266,3 @@ def p01_slate(spark, sf_dir):
 
     s = priced(spark, sf_dir).where("side is not null").select("game_date", "game_pk", "sp", "sd")
     return s.groupBy("game_date").applyInPandas(size, "game_date date, game_pk long, stake double")
-
-
-def _stream(spark, sf_dir, name, build, out_mode="append"):
-    """Run a stream over a table's files to its end and return what it wrote to the shared folder."""
-    from tallyfield.streaming.run import drain
-
-    return drain(spark, f"{sf_dir}/{name}.parquet", build, out_mode)
-
-
-@query("SELECT user_id, CAST(count(*) AS BIGINT) AS n, max(ts) AS ts FROM events GROUP BY user_id")
-def st01_latest(spark, sf_dir):
-    """O-ST1: latest value per key; the stream's updates are merged by key in foreachBatch."""
-    return _stream(spark, sf_dir, "events", lambda e: e.groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("ts")), "complete")
-
-
-@query("SELECT CAST(ts AS DATE) AS day, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2")
-def st09_daily(spark, sf_dir):
-    """O-ST9: daily windows of a stream."""
-    return _stream(spark, sf_dir, "events", lambda e: e.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("v")).select(F.to_date("window.start").alias("day"), "event_type", "n", "v"), "complete")
-
-
-@query("SELECT DISTINCT user_id, event_type FROM events")
-def st06_dedup(spark, sf_dir):
-    """O-ST6: repeated updates are no-ops."""
-    return _stream(spark, sf_dir, "events", lambda e: e.select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]))
-
-
-@query("SELECT e.event_id, e.user_id FROM events e JOIN (SELECT c_custkey, c_acctbal FROM customer) c ON c_custkey = user_id WHERE e.value > 100 AND c_acctbal < 0")
-def st08_alerts(spark, sf_dir):
-    """O-ST3, ST4, ST5, ST8: stream joined with a static table, filtered to alerts."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_acctbal")
-    return _stream(spark, sf_dir, "events", lambda e: e.join(c, "user_id").where("value > 100 and c_acctbal < 0").select("event_id", "user_id"))

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset, a temporary folder."""
+    """``spark.checkpoint.dir`` of the session.  Where it is unset a local session gets a temporary folder;
+    on a cluster that would be one machine's own, so it is an error."""
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not told:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyfield-"))
         told = sc.getCheckpointDir()
     return told.rstrip("/")

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyfield.sources.store import shared_folder
 
 
-def drain(spark: SparkSession, path: str, build, mode: str = "append") -> DataFrame:
-    """Stream the Parquet files at ``path`` through ``build``; the written table when all are read.
+def drain(spark: SparkSession, path: str, build, mode: str = "append", keys: Sequence[str] | None = None) -> DataFrame:
+    """Stream the Parquet files at ``path`` through ``build``; the result when all are read.
 
-    ``complete`` results are overwritten by each batch, ``append`` results added to, both keyed by the
-    batch in their own folder, so a batch that runs again replaces what it wrote.
+    Every batch writes a folder of its own, so a batch that runs again replaces what it wrote.
+    ``append`` results are all batches' rows; ``update`` results are each key's row of the newest batch
+    that changed it, so a batch writes changed keys only; ``complete`` results are the last batch's.
     """
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
@@ -27,7 +29,18 @@ def drain(spark: SparkSession, path: str, build, mode: str = "append") -> DataFr
 
     q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out/all") if mode == "complete" else spark.read.parquet(f"{base}/out").drop("batch")
+    if mode == "complete":
+        return spark.read.parquet(f"{base}/out/all")
+    written = spark.read.schema(f"{_ddl(out)}, batch long").parquet(f"{base}/out")
+    if mode == "append":
+        return written.drop("batch")
+    values = [c for c in out.columns if c not in keys]
+    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("of"))
+    return newest.select(*[F.col(c) if c in keys else F.col(f"of.{c}") for c in out.columns])
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:
