@@ -6,8 +6,8 @@ a gear hash of 32 bits over bytes sees), so an insertion moves no boundary beyon
 would leave that much more of each passage's head behind.  A chunk alone is no evidence: what is compared are runs, from each chunk the shortest of ``LEAST`` words
 or more that begins there and the shortest that ends there.  Together they cover all chunks of a
 longer repeated run.  Of each digest the first run, by (doc_id, place), stays; chunks inside a later
-run are cut out.  Shorter repetitions are common phrases and stay.  Digests have 96 bits: 64 by which
-they are dealt out, and 32 more that are compared.
+run are cut out.  Shorter repetitions are common phrases and stay.  Digests have 79 bits: 64 by which
+they are dealt out, and 15 more that are compared.
 
 Runs of one batch that share a digest are settled before anything is dealt out: only the batch's
 first goes to the digest's partition, the others are marked and dealt by themselves.  A passage that a
@@ -68,7 +68,7 @@ def tag(h: np.ndarray) -> int:
 
 
 def runs(h: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digests (64 bits and 31 more) and places of the shortest runs of ``least`` words or more from and up to each chunk."""
+    """Digests (64 bits and 15 more) and places of the shortest runs of ``least`` words or more from and up to each chunk."""
     ends, at = np.append(starts[1:], len(h)), np.arange(len(starts))
     last, first = np.searchsorted(ends, starts + least), np.searchsorted(starts, ends - least, "right") - 1
     ahead = last < len(starts)
@@ -82,7 +82,7 @@ def runs(h: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[np.ndar
         total = np.append(np.uint64(0), np.cumsum(x * up[: len(h)], dtype=np.uint64))
         return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
 
-    more = (digest(mix(h ^ np.uint64(0xD6E8FEB86659FD93))) >> np.uint64(33)).astype(np.int32)
+    more = (digest(mix(h ^ np.uint64(0xD6E8FEB86659FD93))) >> np.uint64(49)).astype(np.int16)
     return digest(mix(h)), more, tag(h) << TAG | i << SPAN | j - i
 
 
@@ -95,7 +95,9 @@ def _settled(found: list[tuple]):
     # the same place of a repeated row isn't a repetition
     again &= ~np.concatenate(([False], (doc[1:] == doc[:-1]) & (seq[1:] == seq[:-1])))
     key = np.where(again, mix(doc.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + seq.astype(np.uint64)), digest).view(np.int64)
-    more = np.where(again, np.int32(AGAIN), more)
+    more = np.where(again, np.int16(AGAIN), more)
+    order = np.argsort(order)  # as they came: rows of one text lie together, which packs them better
+    key, more, doc, seq = key[order], more[order], doc[order], seq[order]
     for lo in range(0, len(key), 1 << 16):
         s = slice(lo, lo + (1 << 16))
         yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(more[s]), pa.array(doc[s]), pa.array(seq[s])], names=["key", "more", "doc", "seq"])
@@ -180,7 +182,7 @@ def _edited(batches):
 def repeated_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc, seqs: places of the runs of chunks of each text whose digest an earlier run has."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = rows.mapInArrow(functools.partial(_chunks, least), "key long, more int, doc long, seq long")
+    chunks = rows.mapInArrow(functools.partial(_chunks, least), "key long, more short, doc long, seq long")
     later = chunks.repartition("key").sortWithinPartitions("key", "more", "doc", "seq").mapInArrow(_later, "doc long, seq long")
     return later.groupBy("doc").agg(F.collect_set("seq").alias("seqs"))
 
