@@ -219,14 +219,16 @@ def e15_correlations(spark, sf_dir):
 
 @query()
 def e02_walk_forward(spark, sf_dir):
-    """O-E2, E4, E8: logistic model per fold with recency weights, blend with the market, scores."""
+    """O-E2, E4, E8: logistic model for each year with enough games before it, recency weights, blend with the market, scores."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 
     g = priced(spark, sf_dir).where("home_win is not null").select("game_date", F.col("home_win").cast("double").alias("label"), "market", (F.col("ch") - F.col("oh")).alias("move"), F.col("model_prob").alias("prior"))
+    sizes = sorted((r["year"], r["count"]) for r in g.groupBy(F.year("game_date").alias("year")).count().collect())  # one row a year
+    folds = [(y, sum(n for before, n in sizes if before < y), n) for y, n in sizes]
     out = None
-    for year in (1996, 1997):
+    for year in [y for y, n_train, n_test in folds if n_train >= 200 and n_test >= 20]:  # the newest is open
         start = F.lit(f"{year}-01-01").cast("date")
         train = g.where(F.col("game_date") < start).withColumn("w", F.pow(F.lit(0.5), F.datediff(start, "game_date") / 730.0))
         steps = [Imputer(inputCols=["market", "move", "prior"], outputCols=["a", "b", "c"], strategy="median"), VectorAssembler(inputCols=["a", "b", "c"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(weightCol="w", regParam=0.01, elasticNetParam=0.5, maxIter=20)]

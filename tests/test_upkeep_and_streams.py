@@ -9,7 +9,7 @@ from tallyfield.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("events", "orders", "customer", "lineitem", "part", "supplier", "nation", "region")
-NAMES = [n for n, f in QUERIES.items() if f.__module__.endswith((".upkeep", ".streams")) and n in ORACLES] + ["st02_live_state", "io02_open_schema", "r04_lineups", "w16_roles", "w17_travel"]
+NAMES = [n for n, f in QUERIES.items() if f.__module__.endswith((".upkeep", ".streams", ".variants")) and n in ORACLES] + ["st02_live_state", "io02_open_schema", "r04_lineups", "w16_roles", "w17_travel"]
 
 
 @pytest.fixture(scope="module")
@@ -95,7 +95,7 @@ def test_ledger_is_an_ordered_fold(spark):
     assert set(got) == set(bank) and all(abs(got[k] - bank[k]) <= 0.02 for k in got)
 
 
-@pytest.mark.parametrize("name", ["e02_walk_forward", "e03_trees", "e05_offset", "e06_calibration", "e16_stability", "e17_permutation", "p01_slate"])
+@pytest.mark.parametrize("name", ["e02_walk_forward", "e03_trees", "e08_stacked", "e05_offset", "e06_calibration", "e16_stability", "e17_permutation", "p01_slate"])
 def test_models_run_and_agree_with_themselves(spark, name):
     """What is fitted has no SQL twin: rows are there, numbers are finite, and a second run gives the same."""
     first, second = ([tuple(r) for r in QUERIES[name](spark, SF).collect()] for _ in "ab")
