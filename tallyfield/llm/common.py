@@ -21,11 +21,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a temporary folder is made and set.
+    Only where that is unset and the session is local (tests) a temporary folder is made and set; on a
+    cluster it would be one machine's own, so it is an error.
     """
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not told:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         told = tempfile.mkdtemp(prefix="tallyfield-")
         sc.setCheckpointDir(told)
         told = sc.getCheckpointDir()
