@@ -101,3 +101,24 @@ def test_models_run_and_agree_with_themselves(spark, name):
     first, second = ([tuple(r) for r in QUERIES[name](spark, SF).collect()] for _ in "ab")
     assert first and plain(first) == plain(second)
     assert all(v == v and abs(v) != float("inf") for r in first for v in r if isinstance(v, float))
+
+
+def test_slate_stakes_are_the_best_allowed(spark):
+    """No feasible change of a slate's stakes raises its expected log growth."""
+    import numpy as np
+
+    from tallyfield.plans.market import priced
+
+    facts = {r["game_pk"]: (r["sp"], r["sd"] - 1) for r in priced(spark, SF).where("side is not null").select("game_pk", "sp", "sd").collect()}
+    slates = {}
+    for r in QUERIES["p01_slate"](spark, SF).collect():
+        slates.setdefault(r["game_date"], []).append((r["stake"], *facts[r["game_pk"]]))
+    rng = np.random.default_rng(3)
+    for rows in list(slates.values())[:200]:
+        f, p, b = (np.array(x) for x in zip(*rows, strict=True))
+        growth = lambda x: float((p * np.log1p(x * b) + (1 - p) * np.log1p(-x)).sum())  # noqa: E731, B023
+        assert f.min() >= 0 and f.max() <= 0.05 + 1e-9 and f.sum() <= 0.25 + 1e-6
+        for _ in range(20):
+            other = np.clip(f + rng.normal(0, 0.01, len(f)), 0, 0.05)
+            other *= min(1.0, 0.25 / max(other.sum(), 1e-12))
+            assert growth(other) <= growth(f) + 2e-5
