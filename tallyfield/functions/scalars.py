@@ -62,7 +62,7 @@ def circle(degrees: Column) -> tuple[Column, Column]:
 
 def air_density(temp_c: Column, pressure_hpa: Column, humidity: Column) -> Column:
     """kg per cubic metre of moist air; Magnus vapour pressure."""
-    vapour = humidity / 100.0 * 6.1078 * F.exp(17.27 * temp_c / (temp_c + 237.3))
+    vapour = humidity / 100.0 * 6.1094 * F.exp(17.625 * temp_c / (temp_c + 243.04))
     kelvin = temp_c + 273.15
     return (pressure_hpa - vapour) * 100.0 / (287.05 * kelvin) + vapour * 100.0 / (461.495 * kelvin)
 

@@ -134,11 +134,14 @@ def e15_prune(spark, sf_dir):
 
 @query()
 def e16_stability(spark, sf_dir):
-    """O-E16: features with a weight other than zero in at least half of the folds' L1 fits."""
+    """O-E16: features with a weight other than zero in at least half of the folds' L1 fits, recent seasons weighing more."""
     from pyspark.ml.classification import LogisticRegression
 
     x, years = _vector(examples(spark, sf_dir)), (1996, 1997, 1998)
-    fits = [LogisticRegression(regParam=0.005, elasticNetParam=1.0, maxIter=20).fit(x.where(F.col("year") < y)).coefficients.toArray() for y in years]
+    x = x.withColumn("year", F.col("year").cast("double"))
+    lasso = LogisticRegression(regParam=0.005, elasticNetParam=1.0, maxIter=20, weightCol="weight")
+    # a season counts half as much as the one after it
+    fits = [lasso.fit(x.where(F.col("year") < y).withColumn("weight", F.pow(F.lit(0.5), y - 1 - F.col("year")))).coefficients.toArray() for y in years]
     times = [(c, sum(int(abs(w[i]) > 1e-9) for w in fits)) for i, c in enumerate(FEATURES)]
     return spark.createDataFrame([(c, n, 2 * n >= len(years)) for c, n in times], "feature string, folds int, kept boolean")
 

@@ -209,7 +209,7 @@ def x07_physics(spark, sf_dir):
     return g.select("game_pk", (F.round(s, 9) + 0.0).alias("dir_sin"), (F.round(c, 9) + 0.0).alias("dir_cos"), (F.round(wind_out(F.col("game_pk") % 30, deg, 35.0), 9) + 0.0).alias("wind_out"), F.month("game_date").alias("month"), F.weekday("game_date").alias("weekday"), F.round(X.logit(F.col("model_prob")), 9).alias("logit"), F.round(X.pythagorean(F.col("home_score").cast("double"), F.col("away_score").cast("double")), 9).alias("pythagorean"))
 
 
-@query("SELECT p_partkey, round((1013e0 - v) * 100 / (287.05e0 * k) + v * 100 / (461.495e0 * k), 9) AS density FROM (SELECT p_partkey, (p_size % 40) + 273.15e0 AS k, 0.5e0 * 6.1078e0 * exp(17.27e0 * (p_size % 40) / ((p_size % 40) + 237.3e0)) AS v FROM part) t")
+@query("SELECT p_partkey, round((1013e0 - v) * 100 / (287.05e0 * k) + v * 100 / (461.495e0 * k), 9) AS density FROM (SELECT p_partkey, (p_size % 40) + 273.15e0 AS k, 0.5e0 * 6.1094e0 * exp(17.625e0 * (p_size % 40) / ((p_size % 40) + 243.04e0)) AS v FROM part) t")
 def x09_air_density(spark, sf_dir):
     """O-X9: moist-air density."""
     return table(spark, sf_dir, "part").select("p_partkey", F.round(air_density((F.col("p_size") % 40).cast("double"), F.lit(1013.0), F.lit(50.0)), 9).alias("density"))

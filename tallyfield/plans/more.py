@@ -32,12 +32,14 @@ def a14_reweighted(spark, sf_dir):
     return m.groupBy("month").agg(F.round(F.sum(F.col("v") * F.col("n")) / F.sum("n"), 9).alias("brier"), F.sum("n").alias("n"))
 
 
-@query("WITH u AS (SELECT 'l_quantity' AS feature, l_quantity AS v, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem UNION ALL SELECT 'l_tax', l_tax, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END FROM lineitem), m AS (SELECT feature, quantile_cont(v, 0.5) AS med FROM u GROUP BY 1) SELECT feature, round(avg(CASE WHEN v >= med THEN CAST(y AS DOUBLE) END), 9) AS high_rate, round(avg(CASE WHEN v < med THEN CAST(y AS DOUBLE) END), 9) AS low_rate FROM u JOIN m USING (feature) GROUP BY 1")
+@query("WITH u AS (SELECT 'l_quantity' AS feature, l_quantity AS v, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem UNION ALL SELECT 'l_tax', l_tax, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END FROM lineitem), m AS (SELECT feature, quantile_cont(v, 0.5) AS med FROM u GROUP BY 1) SELECT feature, round(avg(CASE WHEN v >= med THEN CAST(y AS DOUBLE) END), 9) AS high_rate, round(avg(CASE WHEN v < med THEN CAST(y AS DOUBLE) END), 9) AS low_rate FROM u JOIN m USING (feature) GROUP BY 1 HAVING count(*) FILTER (v >= med) > 10 AND count(*) FILTER (v < med) > 10")
 def a18_median_split(spark, sf_dir):
-    """O-A18: rates above and below each feature's median."""
+    """O-A18: rates above and below each feature's median, for features with more than ten rows on either side."""
     long = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in ("l_quantity", "l_tax")])).alias("x")).select("y", "x.*")
     med = long.groupBy("feature").agg(F.percentile("v", F.lit(0.5)).alias("med"))
-    return long.join(F.broadcast(med), "feature").groupBy("feature").agg(F.round(F.avg(F.when(F.col("v") >= F.col("med"), F.col("y"))), 9).alias("high_rate"), F.round(F.avg(F.when(F.col("v") < F.col("med"), F.col("y"))), 9).alias("low_rate"))  # two rows
+    sides = [F.count_if(F.col("v") >= F.col("med")).alias("high"), F.count_if(F.col("v") < F.col("med")).alias("low")]
+    rates = long.join(F.broadcast(med), "feature").groupBy("feature").agg(*sides, F.round(F.avg(F.when(F.col("v") >= F.col("med"), F.col("y"))), 9).alias("high_rate"), F.round(F.avg(F.when(F.col("v") < F.col("med"), F.col("y"))), 9).alias("low_rate"))  # two rows
+    return rates.where("high > 10 and low > 10").drop("high", "low")
 
 
 @query(f"{G}, c AS (SELECT season, sum(13 * home_score + 3 * away_score) / CAST(sum(9) AS DOUBLE) AS raw FROM g WHERE home_win IS NOT NULL GROUP BY 1) SELECT season, round(4.2e0 - raw, 9) AS fip_constant FROM c")
