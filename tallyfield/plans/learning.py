@@ -11,6 +11,8 @@ from tallyfield.plans.views import LOG_SQL, games, team_log
 from tallyfield.session import table
 
 FEATURES = ["market", "move", "prior"]
+SEASONS_BACK = 2  # seasons before the first fold
+LATE = 3  # last seasons, which calibrated and offset models are scored on
 
 
 def examples(spark, sf_dir) -> DataFrame:
@@ -19,6 +21,11 @@ def examples(spark, sf_dir) -> DataFrame:
     return g.select("game_pk", "game_date", F.year("game_date").alias("year"), F.col("home_win").cast("double").alias("label"), "market", (F.col("ch") - F.col("oh")).alias("move"), F.col("model_prob").alias("prior"))
 
 
+def seasons(x: DataFrame) -> list[int]:
+    """The seasons that the data have (one row each comes to the driver)."""
+    return sorted(r["year"] for r in x.select("year").distinct().collect())
+
+
 def log_loss(p: str):
     c = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(p)))
     return F.round(F.avg(-(F.col("label") * F.log(c) + (1 - F.col("label")) * F.log(1 - c))), 6)
@@ -43,7 +50,7 @@ def e03_trees(spark, sf_dir):
 
     x = _vector(examples(spark, sf_dir))
     gains, out = [], None
-    for year in (1996, 1997):
+    for year in seasons(x)[SEASONS_BACK:]:
         model = GBTClassifier(maxIter=5, maxDepth=3, seed=1).fit(x.where(F.col("year") < year))
         gains.append(model.featureImportances.toArray())
         s = _positive(model.transform(x.where(F.col("year") == year))).agg(F.count("*").alias("n"), log_loss("p").alias("value")).select(F.lit(f"log loss {year}").alias("what"), "n", "value")
@@ -58,8 +65,9 @@ def e05_offset(spark, sf_dir):
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     x = _vector(examples(spark, sf_dir).withColumn("offset", logit(F.col("market"))), ["move", "prior"])
-    model = GeneralizedLinearRegression(family="binomial", link="logit", offsetCol="offset", regParam=0.01, maxIter=15).fit(x.where("year < 1996"))
-    return model.transform(x.where("year >= 1996")).groupBy("year").agg(F.count("*").alias("n"), log_loss("prediction").alias("log_loss"), log_loss("market").alias("market_loss"))
+    first = seasons(x)[-LATE:][0]
+    model = GeneralizedLinearRegression(family="binomial", link="logit", offsetCol="offset", regParam=0.01, maxIter=15).fit(x.where(F.col("year") < first))
+    return model.transform(x.where(F.col("year") >= first)).groupBy("year").agg(F.count("*").alias("n"), log_loss("prediction").alias("log_loss"), log_loss("market").alias("market_loss"))
 
 
 @query()
@@ -69,7 +77,8 @@ def e06_calibration(spark, sf_dir):
     from pyspark.ml.regression import IsotonicRegression
 
     x = examples(spark, sf_dir).withColumn("z", logit(F.col("prior")))
-    train, later = x.where("year < 1996"), x.where("year >= 1996")
+    first = seasons(x)[-LATE:][0]
+    train, later = x.where(F.col("year") < first), x.where(F.col("year") >= first)
     iso = IsotonicRegression(featuresCol="prior").fit(train).transform(later).withColumnRenamed("prediction", "isotonic")
     platt = LogisticRegression().fit(_vector(train, ["z"])).transform(_vector(iso, ["z"]))
     return _positive(platt).groupBy("year").agg(F.count("*").alias("n"), log_loss("prior").alias("raw"), log_loss("isotonic").alias("isotonic"), log_loss("p").alias("platt"))
@@ -103,6 +112,33 @@ def e14_bootstrap(spark, sf_dir):
     return r.select("team", F.round("m", 9).alias("mean"), F.round("s", 9).alias("std"), (F.abs(F.col("m") - 0.48) - F.col("s") > 0.01).alias("bet"), F.round(1 / (1 + 5 * F.col("s")), 9).alias("damp"))
 
 
+@query()
+def e14_refits(spark, sf_dir):
+    """O-E14: a model refitted on eight Poisson-weighted replicas; mean and spread of its scores, edge less spread, damped stake.
+
+    The replicas' weights come from a hash of the game, so no rows are drawn or copied; all models score in one pass.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+
+    x = _vector(examples(spark, sf_dir))
+    first = seasons(x)[-LATE:][0]
+    train, later = x.where(F.col("year") < first), x.where(F.col("year") >= first)
+    scores, at = [], vector_to_array(F.col("features"))
+    for b in range(8):
+        u = F.conv(F.substring(F.md5(F.concat_ws(":", "game_pk", F.lit(b))), 1, 8), 16, 10).cast("double") / 4294967296.0
+        n = sum(((u >= x_).cast("double") for x_ in POISSON[1:]), (u >= POISSON[0]).cast("double"))
+        model = LogisticRegression(regParam=0.01, maxIter=15, weightCol="n").fit(train.withColumn("n", n).where("n > 0"))
+        margin = sum((float(w) * F.col("at")[i] for i, w in enumerate(model.coefficients.toArray())), F.lit(float(model.intercept)))
+        scores.append(1 / (1 + F.exp(-margin)))
+    told = later.withColumn("at", at).select("game_pk", "market", F.array(*scores).alias("p"))
+    total = lambda of: F.aggregate(F.transform("p", of), F.lit(0.0), lambda s, v: s + v)
+    told = told.withColumn("mean", total(lambda v: v) / len(scores))
+    told = told.withColumn("std", F.sqrt(total(lambda v: (v - F.col("mean")) * (v - F.col("mean"))) / len(scores)))
+    bet = F.abs(F.col("mean") - F.col("market")) - F.col("std") > 0.05
+    return told.select("game_pk", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), bet.alias("bet"), F.round(1 / (1 + 5 * F.col("std")), 6).alias("damp"))
+
+
 def prune(df: DataFrame, cols: list[str], target: str, threshold: float = 0.85) -> list[str]:
     """Columns by their correlation with the target, without those too close to one already kept.
 
@@ -137,7 +173,8 @@ def e16_stability(spark, sf_dir):
     """O-E16: features with a weight other than zero in at least half of the folds' L1 fits, recent seasons weighing more."""
     from pyspark.ml.classification import LogisticRegression
 
-    x, years = _vector(examples(spark, sf_dir)), (1996, 1997, 1998)
+    x = _vector(examples(spark, sf_dir))
+    years = seasons(x)[SEASONS_BACK:]
     x = x.withColumn("year", F.col("year").cast("double"))
     lasso = LogisticRegression(regParam=0.005, elasticNetParam=1.0, maxIter=20, weightCol="weight")
     # a season counts half as much as the one after it

@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from tallyfield.functions.odds import implied, logit
 from tallyfield.functions.scalars import air_density, in_range
+from tallyfield.operators.quality import Contract, check_sql
 from tallyfield.operators.windows import lagged
 from tallyfield.plans.base import query
 from tallyfield.plans.views import GAMES_SQL, LOG_SQL, games, team_log
@@ -281,3 +282,30 @@ def w16_bullpen(spark, sf_dir):
         "team", "day", (-c("one.low")).alias("closer"), c("one.fresh").alias("closer_fresh"), (-c("two.low")).alias("setup"), c("two.fresh").alias("setup_fresh"),
         (-c("lefty.low")).alias("best_left"), (-c("righty.low")).alias("best_right"),
     )
+
+
+CHECKED = [Contract("l_quantity", 1, 45), Contract("l_tax", 0, 0.06), Contract("l_extendedprice", 0, 50000)]
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity, l_tax FROM lineitem WHERE NOT (l_quantity BETWEEN 1 AND 45 AND l_tax BETWEEN 0 AND 0.06e0 AND l_extendedprice BETWEEN 0 AND 50000)""")
+def q04_checks(spark, sf_dir):
+    """O-Q4: rows that fail a table's CHECK expression as it is made from the contracts."""
+    check = " AND ".join(f"({check_sql(c)})" for c in CHECKED)
+    return table(spark, sf_dir, "lineitem").where(f"NOT ({check})").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")
+
+
+NUMBERS = ["l_orderkey", "l_quantity", "l_tax", "l_discount", "half", "flat"]
+EXCLUDED = "(_id|key)$"
+
+
+@query(f"""WITH t AS (SELECT *, CASE WHEN l_linenumber > 1 THEN l_tax END AS half, 1e0 AS flat FROM lineitem),
+u AS (SELECT unnest([{', '.join(f"'{c}'" for c in NUMBERS)}]) AS feature, unnest([{', '.join(f'CAST({c} AS DOUBLE)' for c in NUMBERS)}]) AS v FROM t)
+SELECT feature, round(count(v) / CAST(count(*) AS DOUBLE), 9) AS coverage, round(stddev_samp(v), 6) AS spread FROM u WHERE NOT regexp_matches(feature, '{EXCLUDED}')
+GROUP BY 1 HAVING count(v) >= 0.6e0 * count(*) AND min(v) < max(v) AND stddev_samp(v) > 1e-6""")
+def a09_candidates(spark, sf_dir):
+    """O-A9: numeric columns with enough values, two of them at least and a spread, whose names aren't those of keys."""
+    t = table(spark, sf_dir, "lineitem").withColumns({"half": F.when(F.col("l_linenumber") > 1, F.col("l_tax")), "flat": F.lit(1.0)})
+    cols = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in NUMBERS])
+    u = t.select(F.inline(cols)).where(~F.col("feature").rlike(EXCLUDED))
+    s = u.groupBy("feature").agg((F.count("v") / F.count("*")).alias("coverage"), F.stddev_samp("v").alias("spread"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return s.where("coverage >= 0.6 and low < high and spread > 1e-6").select("feature", F.round("coverage", 9).alias("coverage"), F.round("spread", 6).alias("spread"))

@@ -46,3 +46,36 @@ def test_live_text(spark):
 def test_first_number(spark):
     got = spark.range(1).select(R.first_number(F.lit("n/a"), F.lit(None).cast("string"), F.lit("0.4")), R.first_number(F.lit(""))).first()
     assert list(got) == [0.4, None]
+
+
+def test_refitted_models_agree_with_plain_fits(spark):
+    """The replicas' scores against Newton's method on the same weights."""
+    import hashlib
+
+    import numpy as np
+
+    from tallyfield.plans import learning as L
+
+    rows = L.examples(spark, SF).toPandas()
+    first = sorted(rows.year.unique())[-L.LATE]
+    x, train = rows[L.FEATURES].to_numpy(float), (rows.year < first).to_numpy()
+    y, scores = rows.label.to_numpy(float), []
+    for b in range(8):
+        u = np.array([int(hashlib.md5(f"{k}:{b}".encode()).hexdigest()[:8], 16) / 4294967296 for k in rows.game_pk])
+        n = sum((u >= p).astype(float) for p in L.POISSON)[train]
+        xt, yt = x[train], y[train]
+        mean = np.average(xt, axis=0, weights=n)
+        var = (n[:, None] * (xt - mean) ** 2).sum(0) / (n.sum() - 1)
+        z = np.column_stack([np.ones(len(xt)), (xt - mean) / np.sqrt(var)])
+        w = np.zeros(z.shape[1])
+        ridge = np.diag([0.0, *[0.01] * (z.shape[1] - 1)])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-z @ w))
+            grad = z.T @ (n * (p - yt)) / n.sum() + ridge @ w
+            w -= np.linalg.solve((z * (n * p * (1 - p))[:, None]).T @ z / n.sum() + ridge, grad)
+        scores.append(1 / (1 + np.exp(-(w[0] + (x[~train] - mean) / np.sqrt(var) @ w[1:]))))
+    want = dict(zip(rows.game_pk[~train], zip(np.mean(scores, 0), np.std(scores, 0), strict=True), strict=True))
+    got = QUERIES["e14_refits"](spark, SF).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r["mean"], r["std"]) == pytest.approx(want[r["game_pk"]], abs=2e-3)
