@@ -35,14 +35,36 @@ def shared_dir(spark: SparkSession) -> str:
     return told.rstrip("/")
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here."""
+def fresh_path(spark: SparkSession, what: str = "stash") -> str:
+    """A new folder's name in the shared folder."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def stash(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here.
+
+    Who gives the ``path`` can ``remove`` the table when nothing reads it any more.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
+    path = path or fresh_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder, wherever that is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores until no column of the tables has it (names differ by more than case)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class WordHashes(dict):
     """64-bit hash of each word, remembered; cleared when it holds ``limit`` words."""
 

@@ -8,6 +8,7 @@ import corpus_pipeline
 from tallyfield.llm.chat_format import rotate
 from tallyfield.llm.common import read
 from tallyfield.llm.html_extraction import extract_pages
+from tallyfield.llm.line_dedup import dedup_lines
 from tallyfield.llm.mixing import mix_sources, words
 from tallyfield.llm.ngram_join import jaccard_components
 from tallyfield.llm.packing import pack_documents
@@ -63,7 +64,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_mixing, op4_substring_dedup, op5_ngram_join, op6_chat_format, op7_quality_rules, op8_html_extraction, op9_packing, op10_quality_classifier)} | {"pipeline": corpus_pipeline.run}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped and the digest of what is left, of each document (null text: empty)."""
+    out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_mixing, op4_substring_dedup, op5_ngram_join, op6_chat_format, op7_quality_rules, op8_html_extraction, op9_packing, op10_quality_classifier, op11_line_dedup)} | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {
     "op6_chat_format": r"""
@@ -86,6 +93,16 @@ g AS (SELECT conv_id, segment, participant,
       FROM z GROUP BY conv_id, segment, participant)
 SELECT *, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id, participant ORDER BY segment
                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM g
+""",
+    "op11_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT r, doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY r, doc_id
 """,
 }
 if corpus_pipeline.ORACLE_SQL:
