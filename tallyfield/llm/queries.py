@@ -12,6 +12,7 @@ from tallyfield.llm.line_dedup import dedup_lines
 from tallyfield.llm.mixing import mix_sources, words
 from tallyfield.llm.ngram_join import jaccard_components
 from tallyfield.llm.packing import pack_documents
+from tallyfield.llm.prefix_trie import prefix_trie
 from tallyfield.llm.quality_classifier import classify_quality
 from tallyfield.llm.quality_rules import quality_rules
 from tallyfield.llm.spotsigs import neighbour_fingerprints
@@ -70,7 +71,19 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_mixing, op4_substring_dedup, op5_ngram_join, op6_chat_format, op7_quality_rules, op8_html_extraction, op9_packing, op10_quality_classifier, op11_line_dedup)} | {"pipeline": corpus_pipeline.run}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+def crc_sql(text: str) -> str:
+    """crc32 of an ASCII string in DuckDB, which has no such function."""
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    letters = f"list_transform(string_split({text}, ''), lambda t: CAST(ascii(t) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {letters}), lambda c, b: {byte}), 4294967295)"
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_mixing, op4_substring_dedup, op5_ngram_join, op6_chat_format, op7_quality_rules, op8_html_extraction, op9_packing, op10_quality_classifier, op11_line_dedup, op12_prefix_trie)} | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {
     "op6_chat_format": r"""
@@ -103,6 +116,28 @@ f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >=
 SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN f USING (key) GROUP BY r, doc_id
+""",
+    "op12_prefix_trie": rf"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, turn, md5(length(role) || ':' || role || text) AS key, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS pos FROM k),
+n AS (SELECT conv_id, count(*) AS own, conv_id - conv_id % 20 AS base, {crc_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM o GROUP BY conv_id),
+c AS (SELECT n.*, least(n.h, coalesce(f.own, 0)) AS taken FROM n LEFT JOIN n f ON f.conv_id = n.base),
+t AS (SELECT c.conv_id, pos, key, words FROM c JOIN o ON o.conv_id = base AND pos <= taken
+      UNION ALL SELECT conv_id, pos - h + taken, key, words FROM o JOIN c USING (conv_id) WHERE pos > h),
+p AS (SELECT conv_id, pos AS depth, words, string_agg(key, '' ORDER BY pos) OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM t
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+e AS (SELECT conv_id, max(depth) AS size FROM p GROUP BY conv_id),
+g AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+      FROM p JOIN e USING (conv_id) GROUP BY path, depth),
+u AS (SELECT left(path, greatest(length(path) - 32, 0)) AS up, count(*) AS n FROM g WHERE depth > 0 GROUP BY 1),
+v AS (SELECT g.*, coalesce(u.n, 0) AS n_children FROM g LEFT JOIN u ON u.up = g.path),
+s AS (SELECT a.path, sum((b.n_convs - 1) * b.words) AS saved, count(*) FILTER (b.n_children = 0) AS leaves
+      FROM v b JOIN p q ON q.conv_id = b.conv_id AND q.depth <= b.depth JOIN v a ON a.path = q.path GROUP BY a.path)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, w.conv_id AS parent_conv_id, CAST(v.n_convs AS BIGINT) AS n_convs, CAST(v.n_children AS BIGINT) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN s USING (path) LEFT JOIN v w ON v.depth > 0 AND w.path = left(v.path, length(v.path) - 32)
 """,
 }
 if corpus_pipeline.ORACLE_SQL:
