@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from tallyfield.llm.chat_format import rotate
-from tallyfield.llm.common import read
+from tallyfield.llm.common import read, stash
 from tallyfield.llm.html_extraction import extract_pages
 from tallyfield.llm.line_dedup import dedup_lines
 from tallyfield.llm.mixing import mix_sources, words
@@ -16,8 +16,10 @@ from tallyfield.llm.prefix_trie import prefix_trie
 from tallyfield.llm.quality_classifier import classify_quality
 from tallyfield.llm.quality_rules import quality_rules
 from tallyfield.llm.spotsigs import neighbour_fingerprints
+from tallyfield.llm.structure_repair import repair
 from tallyfield.llm.substring_dedup import dedup_substrings
 from tallyfield.llm.toxicity import score_toxicity
+from tallyfield.llm.turns import hashed
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +78,33 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(read(spark, sf_dir, "conversations"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text with the faults that op13 is given to mend; nulls are one space in role and text."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(told("conv_id"), F.lit(":"), told("turn"))) % 20
+    rows = conversations.select("conv_id", "turn", told("role").alias("role"), told("text").alias("text"), fault.alias("fault")).where("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of every original conversation; one that the damage left without rows has zeros."""
+    convs = read(spark, sf_dir, "conversations")
+    rows = damaged(convs)
+    report, turns = repair(rows)
+    lines = turns.select("conv_id", "place", F.concat("role", F.lit(":"), "text").alias("line"))
+    mended = hashed(lines, ["conv_id"], ["place"], "line", "\n")
+    # distinct turns first, so that a long conversation's are counted by many tasks
+    numbers = rows.select("conv_id", "turn").distinct().groupBy("conv_id").agg((F.max("turn") - F.min("turn") + 1 - F.count("turn")).alias("gaps"))
+    out = convs.select(F.col("conv_id").alias("of")).distinct()
+    for part in (stash(report), numbers, mended):
+        out = out.join(part, F.col("of").eqNullSafe(part["conv_id"]), "left").drop(part["conv_id"])
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("of").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def crc_sql(text: str) -> str:
     """crc32 of an ASCII string in DuckDB, which has no such function."""
     byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
@@ -83,7 +112,7 @@ def crc_sql(text: str) -> str:
     return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {letters}), lambda c, b: {byte}), 4294967295)"
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_mixing, op4_substring_dedup, op5_ngram_join, op6_chat_format, op7_quality_rules, op8_html_extraction, op9_packing, op10_quality_classifier, op11_line_dedup, op12_prefix_trie)} | {"pipeline": corpus_pipeline.run}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_mixing, op4_substring_dedup, op5_ngram_join, op6_chat_format, op7_quality_rules, op8_html_extraction, op9_packing, op10_quality_classifier, op11_line_dedup, op12_prefix_trie, op13_structure_repair)} | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {
     "op6_chat_format": r"""
@@ -138,6 +167,38 @@ s AS (SELECT a.path, sum((b.n_convs - 1) * b.words) AS saved, count(*) FILTER (b
 SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, w.conv_id AS parent_conv_id, CAST(v.n_convs AS BIGINT) AS n_convs, CAST(v.n_children AS BIGINT) AS n_children,
        CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, v.ends_sha256
 FROM v JOIN s USING (path) LEFT JOIN v w ON v.depth > 0 AND w.path = left(v.path, length(v.path) - 32)
+""",
+    # forward through the rows: of the ways to a role state the cheapest, then the first by audit, goes on
+    "op13_structure_repair": rf"""
+WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+       {crc_sql("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS fault FROM conversations),
+e AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+             CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+      FROM d, generate_series(1, 2) t(copy) WHERE fault <> 0 AND (copy = 1 OR fault = 3)),
+k AS (SELECT *, md5(length(role) || ':' || role || text) AS key, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM e),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS pos FROM k),
+f AS (SELECT *, left(role, 1) AS r, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, key ORDER BY pos) > 1 THEN 'duplicate'
+             WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM n),
+edges(q, edit, r, new, to_q, cost) AS (VALUES (0, 'K', 's', '', 1, 0), (0, 'K', 'u', '', 2, 0), (1, 'K', 'u', '', 2, 0), (2, 'K', 'a', '', 3, 0), (3, 'K', 'u', '', 2, 0),
+             (0, 'R', '', 'user', 2, 2), (1, 'R', '', 'user', 2, 2), (2, 'R', '', 'assistant', 3, 2), (3, 'R', '', 'user', 2, 2),
+             (0, 'D', '', '', 0, 3), (1, 'D', '', '', 1, 3), (2, 'D', '', '', 2, 3), (3, 'D', '', '', 3, 3)),
+moves AS (SELECT q, edit AS edits, edit, r, '' AS added, new, to_q, cost FROM edges
+          UNION ALL SELECT i.q, 'I' || e.edit, e.edit, e.r, i.new || ':' || chr(10), e.new, e.to_q, e.cost + 2 FROM edges i JOIN edges e ON i.edit = 'R' AND e.q = i.to_q),
+w AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS pos, 0 AS q, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS told FROM f
+      UNION ALL
+      SELECT conv_id, pos, q, best.cost, best.audit, best.told FROM (
+        SELECT f.conv_id, f.pos, to_q AS q, min(struct_pack(cost := w.cost + m.cost + CASE WHEN f.fault = 'truncated' AND m.edit <> 'D' THEN 1 ELSE 0 END, audit := w.audit || m.edits,
+               told := w.told || m.added || CASE m.edit WHEN 'D' THEN '' WHEN 'K' THEN f.role || ':' || f.text || chr(10) ELSE m.new || ':' || f.text || chr(10) END)) AS best
+        FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.pos + 1
+        JOIN moves m ON m.q = w.q AND (m.edit = 'D' OR f.fault NOT IN ('blank', 'duplicate') AND (m.edit = 'R' OR m.r = f.r)) GROUP BY ALL) x),
+z AS (SELECT w.conv_id, min(struct_pack(cost := cost + CASE WHEN q = 2 THEN 2 ELSE 0 END, audit := audit || CASE WHEN q = 2 THEN 'I' ELSE '' END,
+             told := told || CASE WHEN q = 2 THEN 'assistant:' || chr(10) ELSE '' END)) AS best
+      FROM w JOIN (SELECT conv_id, max(pos) AS pos FROM f GROUP BY conv_id) l ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND l.pos = w.pos WHERE q <> 1 GROUP BY w.conv_id),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(left(best.told, length(best.told) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
 """,
 }
 if corpus_pipeline.ORACLE_SQL:
