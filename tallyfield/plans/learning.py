@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyfield.functions.odds import logit
+from tallyfield.operators.gram import correlations
+from tallyfield.operators.order import numbered, stored
 from tallyfield.plans.base import query
 from tallyfield.plans.market import O_SQL, priced
 from tallyfield.plans.views import LOG_SQL, games, team_log
@@ -48,7 +50,7 @@ def e03_trees(spark, sf_dir):
     """O-E3, E18: boosted trees by fold, importances averaged over the folds."""
     from pyspark.ml.classification import GBTClassifier
 
-    x = _vector(examples(spark, sf_dir))
+    x = _vector(stored(examples(spark, sf_dir)))
     gains, out = [], None
     for year in seasons(x)[SEASONS_BACK:]:
         model = GBTClassifier(maxIter=5, maxDepth=3, seed=1).fit(x.where(F.col("year") < year))
@@ -64,7 +66,7 @@ def e05_offset(spark, sf_dir):
     """O-E5: what the features add to the market's logit."""
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    x = _vector(examples(spark, sf_dir).withColumn("offset", logit(F.col("market"))), ["move", "prior"])
+    x = _vector(stored(examples(spark, sf_dir)).withColumn("offset", logit(F.col("market"))), ["move", "prior"])
     first = seasons(x)[-LATE:][0]
     model = GeneralizedLinearRegression(family="binomial", link="logit", offsetCol="offset", regParam=0.01, maxIter=15).fit(x.where(F.col("year") < first))
     return model.transform(x.where(F.col("year") >= first)).groupBy("year").agg(F.count("*").alias("n"), log_loss("prediction").alias("log_loss"), log_loss("market").alias("market_loss"))
@@ -76,7 +78,7 @@ def e06_calibration(spark, sf_dir):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.regression import IsotonicRegression
 
-    x = examples(spark, sf_dir).withColumn("z", logit(F.col("prior")))
+    x = stored(examples(spark, sf_dir)).withColumn("z", logit(F.col("prior")))
     first = seasons(x)[-LATE:][0]
     train, later = x.where(F.col("year") < first), x.where(F.col("year") >= first)
     iso = IsotonicRegression(featuresCol="prior").fit(train).transform(later).withColumnRenamed("prediction", "isotonic")
@@ -121,7 +123,7 @@ def e14_refits(spark, sf_dir):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
 
-    x = _vector(examples(spark, sf_dir))
+    x = _vector(stored(examples(spark, sf_dir)))
     first = seasons(x)[-LATE:][0]
     train, later = x.where(F.col("year") < first), x.where(F.col("year") >= first)
     scores, at = [], vector_to_array(F.col("features"))
@@ -139,20 +141,13 @@ def e14_refits(spark, sf_dir):
     return told.select("game_pk", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), bet.alias("bet"), F.round(1 / (1 + 5 * F.col("std")), 6).alias("damp"))
 
 
-def prune(df: DataFrame, cols: list[str], target: str, threshold: float = 0.85) -> list[str]:
+def prune(df: DataFrame, cols: list[str], target: str, threshold: float = 0.85, least: int = 100) -> list[str]:
     """Columns by their correlation with the target, without those too close to one already kept.
 
-    All pairs come from one pass; only the small matrix is walked here.  NULLs drop out pair by pair;
-    a constant column has no correlation and counts as 0.
+    All pairs come from one pass; only the matrix, one number a pair, is walked here.  NULLs drop out pair by
+    pair; pairs with fewer than ``least`` rows in common and constant columns count as uncorrelated.
     """
-
-    def corr(a, b):
-        spread = F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a))) * F.stddev_pop(F.when(F.col(a).isNotNull(), F.col(b)))
-        return F.try_divide(F.covar_pop(a, b), F.nullif(spread, F.lit(0.0)))
-
-    pairs = [(a, b) for i, a in enumerate(cols) for b in [*cols[i + 1 :], target]]
-    row = df.agg(*[corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
-    r = {frozenset(p): abs(row[i] or 0.0) for i, p in enumerate(pairs)}
+    r = {frozenset((x["first"], x["second"])): abs(x["r"] or 0.0) for x in correlations(df, [*cols, target], least).collect()}
     kept: list[str] = []
     for c in sorted(cols, key=lambda c: (-r[frozenset((c, target))], c)):
         if all(r[frozenset((c, k))] < threshold for k in kept):
@@ -168,12 +163,65 @@ def e15_prune(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(kept, 1)), "place int, feature string")
 
 
+#: Base models of the stack: their name, features and whether they are trees.
+BASES = {"linear": (["move", "prior"], False), "trees": (["market", "move", "prior"], True)}
+
+
+def out_of_fold(x: DataFrame, years: list[int]) -> DataFrame:
+    """The rows of these seasons with each base model's score by a model that has seen earlier seasons only."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+
+    out = None
+    for year in years:
+        train, rows = x.where(F.col("year") < year), x.where(F.col("year") == year)
+        for name, (cols, trees) in BASES.items():
+            learner = GBTClassifier(maxIter=5, maxDepth=3, seed=1) if trees else LogisticRegression(regParam=0.01, maxIter=50)
+            scored = _positive(learner.fit(_vector(train, cols)).transform(_vector(rows, cols)))
+            rows = scored.withColumnRenamed("p", f"p_{name}").drop("features", "rawPrediction", "probability", "prediction")
+        out = rows if out is None else out.unionByName(rows)
+    return stored(out)
+
+
+def stacked(folds: DataFrame, years: list[int], least: int = 300) -> DataFrame:
+    """``folds`` of these seasons with p_stacked: a second stage over the base scores and the market.
+
+    For each season it learns from the out-of-fold scores of the seasons before, so nothing that it sees was
+    scored by a model that knew the answer.  A missing market counts as the first base score.  With fewer
+    than ``least`` rows to learn from the mean of base scores and market is taken.
+    """
+    from pyspark.ml.classification import LogisticRegression
+
+    scores = [f"p_{name}" for name in BASES]
+    folds = folds.withColumn("p_market", F.coalesce("market", scores[0]))
+    second, out = LogisticRegression(regParam=0.01, standardization=False, maxIter=100, tol=1e-10), None
+    known = {r["year"]: r["count"] for r in folds.groupBy("year").count().collect()}  # one row a season
+    for year in years:
+        rows = folds.where(F.col("year") == year)
+        if sum(n for y, n in known.items() if y < year) < least:
+            rows = rows.withColumn("p_stacked", sum((F.col(c) for c in scores), F.col("p_market")) / (len(scores) + 1))
+        else:
+            model = second.fit(_vector(folds.where(F.col("year") < year), [*scores, "p_market"]))
+            rows = _positive(model.transform(_vector(rows, [*scores, "p_market"]))).withColumnRenamed("p", "p_stacked")
+            rows = rows.drop("features", "rawPrediction", "probability", "prediction")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query()
+def e08_stacked(spark, sf_dir):
+    """O-E8: base models by walk-forward folds, their blend with the market, and a second stage over scores and market."""
+    x = stored(examples(spark, sf_dir))
+    years = seasons(x)[SEASONS_BACK:]
+    told = stacked(out_of_fold(x, years), years[1:]).withColumn("p_blend", 0.5 * F.col("p_linear") + 0.5 * F.col("p_market"))
+    return told.groupBy("year").agg(F.count("*").alias("n"), *[log_loss(f"p_{c}").alias(f"loss_{c}") for c in ("linear", "trees", "market", "blend", "stacked")])
+
+
 @query()
 def e16_stability(spark, sf_dir):
     """O-E16: features with a weight other than zero in at least half of the folds' L1 fits, recent seasons weighing more."""
     from pyspark.ml.classification import LogisticRegression
 
-    x = _vector(examples(spark, sf_dir))
+    x = _vector(stored(examples(spark, sf_dir)))
     years = seasons(x)[SEASONS_BACK:]
     x = x.withColumn("year", F.col("year").cast("double"))
     lasso = LogisticRegression(regParam=0.005, elasticNetParam=1.0, maxIter=20, weightCol="weight")
@@ -183,19 +231,42 @@ def e16_stability(spark, sf_dir):
     return spark.createDataFrame([(c, n, 2 * n >= len(years)) for c, n in times], "feature string, folds int, kept boolean")
 
 
+def permutation_importance(model, rows: DataFrame, features: list[str], key: str, repeats: int = 5) -> DataFrame:
+    """feature, increase, spread: how much a fitted model's log loss grows when a column is permuted over all rows.
+
+    A repeat is one permutation: the rows by a hash of their key and the repeat's number.  All repeats are
+    put in order in one shuffle, number 0 is the order in which they are dealt out again; a row of it meets
+    its donor of each repeat by number.  All columns, repeats and the plain rows are then scored in one pass.
+    """
+    named = F.array(F.lit(""), *[F.lit(c) for c in features])
+    slim = rows.select(F.col(key).alias("key"), "label", F.array(*features).alias("x"))
+    copies = slim.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats)))).withColumn("h", F.xxhash64("key", "repeat"))
+    ranked = numbered(copies, ["repeat", "h", "key"])
+    # every repeat has as many rows, so a number tells the place in it
+    size = rows.count()
+    place = F.pmod(F.col("n") - 1, F.lit(max(size, 1))).alias("place")
+    base = ranked.where("repeat = 0").select(place, "label", "x")
+    donors = ranked.where("repeat > 0").select(place, "repeat", F.col("x").alias("given"))
+    met = base.join(donors, "place")
+    each = met.select("label", "repeat", "x", "given", F.posexplode(named).alias("of", "feature")).where("of > 0 or repeat = 1")
+    swapped = each.select("label", "repeat", "feature", F.transform("x", lambda v, i: F.when(i + 1 == F.col("of"), F.get("given", i)).otherwise(v)).alias("x"))
+    vector = swapped.select("label", "repeat", "feature", *[F.get("x", i).alias(c) for i, c in enumerate(features)])
+    scored = _positive(model.transform(_vector(vector, features)))
+    c = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("p")))
+    loss = F.avg(-(F.col("label") * F.log(c) + (1 - F.col("label")) * F.log(1 - c)))
+    by = scored.groupBy("feature", "repeat").agg(loss.alias("loss"))
+    plain = by.where("feature = ''").select(F.col("loss").alias("plain"))  # one row
+    grown = by.where("feature <> ''").crossJoin(F.broadcast(plain)).withColumn("d", F.col("loss") - F.col("plain"))
+    return grown.groupBy("feature").agg(F.avg("d").alias("increase"), F.stddev_pop("d").alias("spread"))
+
+
 @query()
 def e17_permutation(spark, sf_dir):
-    """O-E17: loss increase when a column is permuted inside blocks of a hash, so no window holds all rows."""
-    x = examples(spark, sf_dir).withColumn("block", F.pmod(F.xxhash64("game_pk"), F.lit(64))).select("block", "game_pk", "label", "market", "prior")
-    at, out = Window.partitionBy("block").orderBy("game_pk"), None
-    for c in ("market", "prior"):
-        for seed in range(3):
-            mixed = Window.partitionBy("block").orderBy(F.xxhash64("game_pk", F.lit(seed)), "game_pk")
-            left = x.withColumn("k", F.row_number().over(at))
-            right = x.select("block", F.col(c).alias("other"), F.row_number().over(mixed).alias("k"))
-            j = left.join(right, ["block", "k"])
-            score = lambda value, c=c: 0.5 * (value + F.col("prior" if c == "market" else "market"))
-            loss = lambda p: (p - F.col("label")) * (p - F.col("label"))
-            s = j.agg(F.avg(loss(score(F.col("other"))) - loss(score(F.col(c)))).alias("increase")).select(F.lit(c).alias("feature"), "increase")
-            out = s if out is None else out.unionByName(s)
-    return out.groupBy("feature").agg(F.round(F.avg("increase"), 6).alias("increase"))
+    """O-E17: how much a fitted model's loss on the late seasons grows when a feature is permuted, five times."""
+    from pyspark.ml.classification import LogisticRegression
+
+    x = stored(examples(spark, sf_dir))
+    first = seasons(x)[-LATE:][0]
+    model = LogisticRegression(regParam=0.01, maxIter=50).fit(_vector(x.where(F.col("year") < first)))
+    told = permutation_importance(model, x.where(F.col("year") >= first), FEATURES, "game_pk")
+    return told.select("feature", F.round("increase", 9).alias("increase"), F.round("spread", 9).alias("spread"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from math import floor
+
 from pyspark.sql import Window, functions as F
 
 from tallyfield.functions import odds as X
 from tallyfield.functions.scalars import air_density, date_code, innings, percent, plain_name, status, wind_out
 from tallyfield.operators.joins import keep_old, prefer_new, replace, upsert
+from tallyfield.operators.order import ordered_fold, stored
+from tallyfield.operators.quantiles import exact_quantiles
 from tallyfield.plans.base import query
 from tallyfield.plans.views import GAMES_SQL, games
 from tallyfield.session import table
@@ -77,8 +81,9 @@ def e12_grid(spark, sf_dir):
 @query(f"{O_SQL}, q AS (SELECT greatest(quantile_cont(edge, 0.9), quantile_cont(-edge, 0.9)) AS t FROM k WHERE r IS NOT NULL) SELECT round(max(t), 9) AS threshold, CAST(count(*) AS BIGINT) AS bets, round(sum(r), 6) AS pnl FROM k, q WHERE r IS NOT NULL AND abs(edge) > t")
 def e13_quantile_rule(spark, sf_dir):
     """O-E13: threshold from quantiles of the signed edge."""
-    s = priced(spark, sf_dir).where("r is not null")
-    t = s.agg(F.greatest(F.percentile("edge", F.lit(0.9)), F.percentile(-F.col("edge"), F.lit(0.9))).alias("t"))
+    s = stored(priced(spark, sf_dir).where("r is not null").select("edge", "r"))
+    # the upper tenth of the edge, or of its opposite
+    t = exact_quantiles(s, "edge", [0.1, 0.9]).agg(F.max(F.when(F.col("prob") > 0.5, F.col("quantile")).otherwise(-F.col("quantile"))).alias("t"))
     return s.join(F.broadcast(t), F.abs("edge") > F.col("t")).agg(F.round(F.max("t"), 9).alias("threshold"), F.count("*").alias("bets"), F.round(F.sum("r"), 6).alias("pnl"))
 
 
@@ -120,12 +125,21 @@ def w19_running_roi(spark, sf_dir):
     return d.select("game_date", F.round(F.sum("p").over(w), 6).alias("pnl"), F.sum("s").over(w).alias("staked"), F.round(F.sum("p").over(w) / F.sum("s").over(w), 9).alias("roi"), F.round(1000 - F.coalesce(F.sum("p").over(after), F.lit(0.0)), 6).alias("balance"))
 
 
-@query()
+def next_bank(cents: int, f: float, r: float) -> int:
+    """The bankroll after a bet of the fraction f that returns r for each unit; stake and profit in whole cents."""
+    return cents + floor(floor(cents * f + 0.5) * r + 0.5)
+
+
+@query(f"""{O_SQL.replace("WITH", "WITH RECURSIVE", 1)}, q AS (SELECT home_team AS account, season, f, r, row_number() OVER (PARTITION BY home_team, season ORDER BY game_date, game_pk) AS i
+ FROM k WHERE r IS NOT NULL),
+w AS (SELECT DISTINCT account, season, CAST(0 AS BIGINT) AS i, CAST(100000 AS BIGINT) AS cents FROM q
+ UNION ALL SELECT account, season, q.i, CAST(cents + floor(floor(cents * f + 0.5e0) * r + 0.5e0) AS BIGINT) FROM w JOIN q USING (account, season) WHERE q.i = w.i + 1)
+SELECT account, season, max(i) AS bets, arg_max(cents, i) / 100e0 AS bankroll FROM w GROUP BY account, season""")
 def w21_ledger(spark, sf_dir):
-    """O-W21, E21: bankroll per account (home team), rounded to cents after each bet; an exact ordered fold."""
-    s = priced(spark, sf_dir).where("r is not null").groupBy(F.col("home_team").alias("account"), "season").agg(F.array_sort(F.collect_list(F.struct("game_date", "game_pk", "f", "r"))).alias("bets"))
-    step = lambda bank, b: F.round(bank + F.round(bank * b["f"], 2) * b["r"], 2)
-    return s.select("account", "season", F.size("bets").alias("bets"), F.aggregate("bets", F.lit(1000.0), step).alias("bankroll"))
+    """O-W21, E21: bankroll per account (home team), in whole cents after each bet; an exact ordered fold."""
+    bets = priced(spark, sf_dir).where("r is not null").select(F.col("home_team").alias("account"), "season", "game_date", "game_pk", "f", "r")
+    out = ordered_fold(bets, ["account", "season"], ["game_date", "game_pk"], ["f", "r"], 100_000, next_bank)
+    return out.select("account", "season", F.col("n").alias("bets"), (F.col("state") / 100.0).alias("bankroll"))
 
 
 @query(f"{O_SQL} SELECT home_team AS account, season, round(exp(sum(ln(1 + f * r))), 9) AS growth FROM k WHERE r IS NOT NULL GROUP BY 1, 2")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyfield.operators.quantiles import exact_quantiles
 from tallyfield.plans.base import query
 from tallyfield.plans.views import GAMES_SQL, games
 from tallyfield.session import table
@@ -36,7 +37,7 @@ def a14_reweighted(spark, sf_dir):
 def a18_median_split(spark, sf_dir):
     """O-A18: rates above and below each feature's median, for features with more than ten rows on either side."""
     long = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in ("l_quantity", "l_tax")])).alias("x")).select("y", "x.*")
-    med = long.groupBy("feature").agg(F.percentile("v", F.lit(0.5)).alias("med"))
+    med = exact_quantiles(long, "v", [0.5], ["feature"]).select("feature", F.col("quantile").alias("med"))
     sides = [F.count_if(F.col("v") >= F.col("med")).alias("high"), F.count_if(F.col("v") < F.col("med")).alias("low")]
     rates = long.join(F.broadcast(med), "feature").groupBy("feature").agg(*sides, F.round(F.avg(F.when(F.col("v") >= F.col("med"), F.col("y"))), 9).alias("high_rate"), F.round(F.avg(F.when(F.col("v") < F.col("med"), F.col("y"))), 9).alias("low_rate"))  # two rows
     return rates.where("high > 10 and low > 10").drop("high", "low")

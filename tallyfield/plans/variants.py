@@ -140,31 +140,3 @@ def io06_chunks(spark, sf_dir):
             new = new.join(there, "chunk", "left_anti")
         new.write.mode("append").partitionBy("chunk").parquet(path)
     return spark.read.schema(schema).parquet(path).select("chunk", "n", "total", "run")
-
-
-@query()
-def e08_stacked(spark, sf_dir):
-    """O-E8: two base models of other features, and a learner of their predictions for a season they haven't seen.
-
-    The base models learn from the seasons before the last but one, the learner above them from that one, and
-    all are scored on the last.
-    """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    won = F.col("home_win").cast("double")
-    g = games(spark, sf_dir).where("home_win is not null").select("season", won.alias("label"), "model_prob", "open_home_ml", "close_home_ml", F.dayofyear("game_date").cast("double").alias("day"))
-    last = g.agg(F.max("season")).first()[0]
-
-    def fitted(train, apply_to, cols, name):
-        x = VectorAssembler(inputCols=cols, outputCol="x")
-        model = LogisticRegression(featuresCol="x", regParam=0.01, maxIter=20).fit(x.transform(train))
-        p = F.get(vector_to_array("probability"), 1)
-        return model.transform(x.transform(apply_to)).withColumn(name, p).drop("x", "rawPrediction", "probability", "prediction")
-
-    early, late = g.where(F.col("season") < last - 1), g.where(F.col("season") >= last - 1)
-    based = fitted(early, fitted(early, late, ["model_prob", "day"], "a"), ["open_home_ml", "close_home_ml"], "b")
-    both = fitted(based.where(F.col("season") == last - 1), based.where(F.col("season") == last), ["a", "b"], "stacked")
-    loss = lambda c: F.round(F.avg(-(F.col("label") * F.log(c) + (1 - F.col("label")) * F.log(1 - F.col(c)))), 6)
-    return both.agg(F.count("*").alias("n"), *[loss(c).alias(f"loss_{c}") for c in ("a", "b", "stacked")])
