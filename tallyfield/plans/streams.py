@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyfield.functions.orders import stop_loss
 from tallyfield.plans.base import query
@@ -30,8 +31,21 @@ def timed(events):
     return events.withColumn("day", F.to_date("ts")).withColumn("at", F.timestamp_seconds(F.unix_date("day") * F.lit(86400).cast("long") + clock))
 
 
-def _events(spark, sf_dir, build, keys=None):
-    return drain(spark, f"{sf_dir}/events.parquet", build, "update" if keys else "append", keys)
+#: Files that a batch takes at most; all that are there if None.
+FILES_PER_BATCH = None
+
+
+def _events(spark, sf_dir, build, keys=None, **more):
+    return drain(spark, f"{sf_dir}/events.parquet", build, "update" if keys else "append", keys, FILES_PER_BATCH, **more)
+
+
+def day_of_2024(days):
+    """The start of the day so many days after 2024-01-01, as an event time."""
+    return F.timestamp_seconds((F.unix_date(F.lit("2024-01-01").cast("date")) + days.cast("int")).cast("long") * 86400)
+
+
+def ms(at) -> int:
+    return at.value // 1_000_000
 
 
 @query("""SELECT user_id, arg_max(event_id, struct_pack(ts, event_id)) AS event_id,
@@ -97,16 +111,143 @@ def st04_freeze(spark, sf_dir):
     return known.join(new, "user_id", "left").select("user_id", F.coalesce("new", "old").alias("value"), F.col("new").isNull().alias("frozen"))
 
 
+class _Freeze(StatefulProcessor):
+    """A key's newest update before its start, its first one after, and how many came after; told and dropped later."""
+
+    spec = "user_id long, value double, late long"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        half = "{0}_ts timestamp_ntz, {0}_event long, {0}_value double"
+        self.state = handle.getValueState("updates", f"old double, {half.format('before')}, {half.format('after')}, n_after long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        old, *known = self.state.get() if self.state.exists() else (None, None, None, None, None, None, None, 0)
+        before, after, n = tuple(known[:3]), tuple(known[3:6]), known[6]
+        for part in rows:
+            if n == 0 and before[0] is None:  # nothing known yet
+                self.handle.registerTimer(ms(part["closed"].iloc[0]))
+                old = None if pd.isna(part["old"].iloc[0]) else float(part["old"].iloc[0])
+            part = part.sort_values(["ts", "event_id"])
+            told = lambda r: (r["ts"].to_pydatetime(), int(r["event_id"]), float(r["value"]))
+            early, rest = part[part["early"]], part[~part["early"]]
+            if len(early) and (before[0] is None or told(early.iloc[-1])[:2] > before[:2]):
+                before = told(early.iloc[-1])
+            if len(rest) and (after[0] is None or told(rest.iloc[0])[:2] < after[:2]):
+                after = told(rest.iloc[0])
+            n += len(rest)
+        self.state.update((old, *before, *after, n))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        old, _, _, before, _, _, after, n = self.state.get()
+        self.state.clear()
+        value = before if before is not None else old if old is not None else after
+        late = n - (before is None and old is None and n > 0)
+        yield pd.DataFrame({"user_id": [key[0]], "value": [value], "late": [late]}).astype({"value": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
+GRACE_DAYS = 2
+
+
+def frozen_values(spark, sf_dir, **more) -> tuple[DataFrame, DataFrame]:
+    """The keys (user_id, old, start) and user_id, value, late of those with updates, told when their time is up."""
+    key = F.col("c_custkey")
+    known = table(spark, sf_dir, "customer").select(key.cast("long").alias("user_id"), F.when(key % 5 != 0, F.col("c_acctbal")).alias("old"), day_of_2024(key % 20).alias("start"), day_of_2024(key % 20 + GRACE_DAYS).alias("closed"))
+
+    def build(e):
+        updates = timed(e.where("value is not null")).withWatermark("at", "1 day").join(known, "user_id").where("at < closed")
+        slim = updates.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "at", "event_id", "value", "old", "closed", (F.col("at") < F.col("start")).alias("early"))
+        return slim.groupBy("user_id").transformWithStateInPandas(_Freeze(), _Freeze.spec, "append", "EventTime")
+
+    return known, _events(spark, sf_dir, build, own_state=True, **more)
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS old,
+TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * CAST(c_custkey % 20 AS BIGINT) AS start FROM customer),
+u AS (SELECT user_id, arg_max(value, struct_pack(ts, event_id)) FILTER (ts < start) AS before, arg_min(value, struct_pack(ts, event_id)) FILTER (ts >= start) AS after,
+count(*) FILTER (ts >= start) AS n FROM events JOIN c USING (user_id) WHERE value IS NOT NULL AND ts < start + INTERVAL {GRACE_DAYS} DAY GROUP BY 1)
+SELECT user_id, coalesce(before, old, after) AS value, CAST(coalesce(n, 0) - CASE WHEN before IS NULL AND old IS NULL AND n > 0 THEN 1 ELSE 0 END AS BIGINT) AS late
+FROM c LEFT JOIN u USING (user_id)""")
+def st04_bounded(spark, sf_dir):
+    """O-ST4: values frozen at the start, late updates counted for two days; state goes once the watermark is past them.
+
+    A key without any value takes the first update after its start.
+    """
+    known, told = frozen_values(spark, sf_dir)
+    return known.join(told, "user_id", "left").select("user_id", F.coalesce("value", "old").alias("value"), F.coalesce("late", F.lit(0)).alias("late"))
+
+
+class _Staleness(StatefulProcessor):
+    """A key's last check and whether it is told to be stale; a timer tells it without a new check."""
+
+    spec = "user_id long, ts timestamp_ntz, stale boolean"
+
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # at: the last check, in ms; 0 is never.  due: the timer that is set, 0 if none is
+        self.state = handle.getValueState("last", "ts timestamp_ntz, at long, due long, stale boolean")
+
+    def _row(self, key, ts, stale: bool) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": [key[0]], "ts": pd.Series([ts], dtype="datetime64[us]"), "stale": [stale]})
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        self.state.update((None, 0, 1, False))  # due as soon as there is a time
+        self.handle.registerTimer(1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ts, at, due, stale = self.state.get() if self.state.exists() else (None, 0, 0, False)
+        newest = at
+        for part in rows:
+            top = part.loc[part["at"].idxmax()]
+            if ms(top["at"]) > newest:
+                ts, newest = top["ts"].to_pydatetime(), ms(top["at"])
+        if newest == at:  # nothing newer than what is known
+            return
+        if due:
+            self.handle.deleteTimer(due)
+        due = newest + self.seconds * 1000 + 1
+        self.handle.registerTimer(due)
+        self.state.update((ts, newest, due, False))
+        if stale or not at:
+            yield self._row(key, ts, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ts, at, due, _ = self.state.get()
+        if expiredTimerInfo.getExpiryTimeInMs() != due:
+            return
+        self.state.update((ts, at, 0, True))
+        yield self._row(key, ts, True)
+
+    def close(self) -> None:
+        pass
+
+
+def stale_keys(spark, sf_dir, seconds: int = STALE_SECONDS, checks_are: str = "true", **more) -> DataFrame:
+    """user_id, ts, stale: the newest word on each key; never-checked ones are stale from the first batch's end."""
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("user_id")).groupBy("user_id")
+
+    def build(e):
+        checks = timed(e).withWatermark("at", "0 seconds").where(checks_are).select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "at")
+        return checks.groupBy("user_id").transformWithStateInPandas(_Staleness(seconds), _Staleness.spec, "update", "EventTime", initialState=keys)
+
+    return _events(spark, sf_dir, build, ["user_id"], own_state=True, **more)
+
+
 @query(f"""WITH l AS (SELECT user_id, max(ts) AS ts FROM events GROUP BY 1), m AS (SELECT max(ts) AS now FROM events)
 SELECT c_custkey AS user_id, ts FROM customer LEFT JOIN l ON user_id = c_custkey, m
 WHERE ts IS NULL OR epoch(now) - epoch(ts) > {STALE_SECONDS}""")
 def st05_stale(spark, sf_dir):
-    """O-ST5: keys whose last check is older than five days before the newest event, or never was."""
-    last = _events(spark, sf_dir, lambda e: e.groupBy("user_id").agg(F.max("ts").alias("ts")), ["user_id"])
-    now = last.agg(F.max("ts").alias("now"))  # one row
-    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
-    old = F.expr(f"ts is null or now > ts + interval {STALE_SECONDS} seconds")
-    return keys.join(last, "user_id", "left").crossJoin(F.broadcast(now)).where(old).select("user_id", "ts")
+    """O-ST5: keys whose last check is older than five days, or never was; a timer of each key tells it as time passes."""
+    told = stale_keys(spark, sf_dir).where("stale")
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("user_id"))
+    return told.join(keys, "user_id", "left_semi").select("user_id", "ts")
 
 
 @query("SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events")
@@ -161,25 +302,62 @@ def st07_payouts(spark, sf_dir):
     return _events(spark, sf_dir, build)
 
 
-@query("""WITH s AS (SELECT user_id, ts, 7 + event_id % 3 AS inning, event_id * 7 % 12 AS home, event_id * 11 % 12 AS away,
-8e0 + event_id % 4 AS total FROM events),
-o AS (SELECT o_orderkey, o_custkey AS user_id, CASE WHEN o_orderkey % 2 = 0 THEN 'home' ELSE 'away' END AS side FROM orders WHERE o_orderstatus = 'O'),
-j AS (SELECT o_orderkey, ts, CASE WHEN side = 'home' THEN away - home ELSE home - away END AS behind,
-CASE inning WHEN 7 THEN 5 WHEN 8 THEN 4 ELSE 3 END + CASE WHEN total >= 10 THEN 1 ELSE 0 END AS need FROM o JOIN s USING (user_id))
-SELECT o_orderkey, min(ts) AS alerted FROM j WHERE behind > 0 AND behind >= need GROUP BY 1""")
-def st08_alerts(spark, sf_dir):
-    """O-ST8, O-F14: stop-loss alerts of open orders on live games, one for each order, at its first moment."""
+class _FirstAlert(StatefulProcessor):
+    """Writes an order's first alert and never another; what it remembers goes when the game is over."""
+
+    spec = "o_orderkey long, alerted timestamp_ntz"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.told = handle.getValueState("told", "at timestamp_ntz")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.told.exists():
+            return
+        first = over = None
+        for part in rows:
+            at, over = part["ts"].min(), part["over"].iloc[0]
+            first = at if first is None or at < first else first
+        self.told.update((first.to_pydatetime(),))
+        self.handle.registerTimer(ms(over))
+        yield pd.DataFrame({"o_orderkey": [key[0]], "alerted": pd.Series([first], dtype="datetime64[us]")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.told.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def first_alerts(spark, sf_dir, **more) -> DataFrame:
+    """o_orderkey, alerted: each open order's first alert, written in the batch that brings it."""
     held = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
     side = F.when(F.col("o_orderkey") % 2 == 0, "home").otherwise("away")
-    held = held.select("o_orderkey", F.col("o_custkey").alias("user_id"), side.alias("side"))
+    held = held.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_custkey").alias("user_id"), side.alias("side"), day_of_2024(10 + F.col("o_custkey") % 15).alias("over"))
 
     def build(e):
         n = F.col("event_id")
-        live = e.select("user_id", "ts", (7 + n % 3).alias("inning"), (n * 7 % 12).alias("home"), (n * 11 % 12).alias("away"), (8.0 + n % 4).alias("total"))
+        live = timed(e).withWatermark("at", LATE)
+        live = live.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "at", (7 + n % 3).alias("inning"), (n * 7 % 12).alias("home"), (n * 11 % 12).alias("away"), (8.0 + n % 4).alias("total"))
         out = stop_loss(F.col("side"), F.col("inning"), F.col("home"), F.col("away"), F.col("total"))
-        return live.join(held, "user_id").where(out).groupBy("o_orderkey").agg(F.min("ts").alias("alerted"))
+        # rows that ask for no alert, and games that are over, don't reach the state
+        asks = live.join(held, "user_id").where(out & (F.col("at") < F.col("over"))).select("o_orderkey", "ts", "at", "over")
+        return asks.groupBy("o_orderkey").transformWithStateInPandas(_FirstAlert(), _FirstAlert.spec, "append", "EventTime")
+
+    return _events(spark, sf_dir, build, own_state=True, **more)
+
 
-    return _events(spark, sf_dir, build, ["o_orderkey"])
+@query("""WITH s AS (SELECT user_id, ts, 7 + event_id % 3 AS inning, event_id * 7 % 12 AS home, event_id * 11 % 12 AS away,
+8e0 + event_id % 4 AS total FROM events),
+o AS (SELECT o_orderkey, o_custkey AS user_id, CASE WHEN o_orderkey % 2 = 0 THEN 'home' ELSE 'away' END AS side,
+TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * CAST(10 + o_custkey % 15 AS BIGINT) AS over FROM orders WHERE o_orderstatus = 'O'),
+j AS (SELECT o_orderkey, ts, CASE WHEN side = 'home' THEN away - home ELSE home - away END AS behind,
+CASE inning WHEN 7 THEN 5 WHEN 8 THEN 4 ELSE 3 END + CASE WHEN total >= 10 THEN 1 ELSE 0 END AS need FROM o JOIN s USING (user_id) WHERE ts < over)
+SELECT o_orderkey, min(ts) AS alerted FROM j WHERE behind > 0 AND behind >= need GROUP BY 1""")
+def st08_alerts(spark, sf_dir):
+    """O-ST8, O-F14: stop-loss alerts of open orders on live games, one for each order, at its first moment."""
+    return first_alerts(spark, sf_dir)
 
 
 @query("""SELECT user_id, CAST(ts AS DATE) AS day, arg_min(value, struct_pack(ts, event_id)) AS first_value,
