@@ -1,22 +1,30 @@
 """Quality rules with adaptive thresholds; DataFrame functions only.
 
 Counts of each text are made by column expressions.  For each (lang, source) group and each signal a
-mergeable quantile sketch (KLL) is built over all the group's documents with words; the group's
-thresholds are its quartiles, ``FENCE`` times their distance further out.  No signal has a fixed cutoff:
-what is usual in a group is its own sketch's matter.  Groups of fewer than ``LEAST`` documents take the
-merged sketch of their language, languages of fewer the merged sketch of all.  A document is rejected if
-a signal lies outside by more than its own chance: ``NOISE`` standard deviations of what a text of its
-length shows (the square root for counts).  The thresholds, a few numbers for each group, are joined
-back to the documents by group.
+mergeable quantile sketch is built over all the group's documents with words: a histogram over bins of
+equal ratio (one part in a hundred), whose counts add up, so that groups merge into languages and these
+into all, and a rerun gives the same.  What is sketched of a count is the highest rate that the document
+leaves possible, ``NOISE`` deviations of a count above its own: a short text without a sign says little,
+a long one much.  A group's threshold is its upper quartile and ``RATE_FENCE`` times the quartiles'
+distance more, so it is a rate, follows the group's lengths and habits, and is never a number of signs.  A
+document is rejected if even the lowest rate that its count leaves possible lies above.  Lengths of words
+are sketched as they are and may lie outside on either side.  Groups of fewer than ``LEAST`` documents take
+the merged sketch of their language, languages of fewer the merged sketch of all.  The thresholds, a few
+numbers for each group, are joined back to the documents by group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from math import log
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SPACE = "[\\x20\\x09-\\x0D]+"
-FENCE = 3.0
+#: Distances of the quartiles beyond which a length, or a rate, is outside.
+FENCE, RATE_FENCE = 3.0, 1.5
 NOISE = 2.0
+#: Neighbouring bins of a sketch differ by this ratio.
+RATIO = 1.01
 LEAST = 100
 WINDOW = 5
 
@@ -60,37 +68,57 @@ def rule_counts(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"))
 
 
-def signals() -> dict[str, tuple[Column, Column]]:
-    """Signal -> (a document's value, its own chance of one standard deviation).
+def signals() -> dict[str, tuple[Column, Column, Column | None]]:
+    """Signal -> (what is sketched, what must not lie above the group's, what must not lie below, if any).
 
     Words in repeated windows come ten at a time, two windows of five; lengths of words spread by about
     half their mean.
     """
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    per_word = {"symbols": (F.col("n_symbols"), 1.0), "dup_lines": (F.col("n_dup_lines"), 1.0), "repeats": (F.col("n_repeat_words"), 2.0 * WINDOW)}
-    out = {s: (c / n, F.sqrt(c * lump) / n) for s, (c, lump) in per_word.items()}
+    lumps = {"symbols": ("n_symbols", 1.0), "dup_lines": ("n_dup_lines", 1.0), "repeats": ("n_repeat_words", 2.0 * WINDOW)}
+    out = {}
+    for name, (c, lump) in lumps.items():
+        spread = NOISE * F.sqrt(F.col(c) * lump)
+        out[name] = (F.col(c) + spread + NOISE * NOISE * lump) / n, (F.col(c) - spread) / n, None
     length = F.col("word_chars") / n
-    return out | {"word_chars": (length, 0.5 * length / F.sqrt(n))}
+    chance = NOISE * 0.5 * length / F.sqrt(n)
+    return out | {"word_chars": (length, length - chance, length + chance)}
+
+
+def sketches(counts: DataFrame) -> DataFrame:
+    """lang, source, signal, bin, n: the groups' sketches, a count for each bin that has any."""
+    of = lambda v: F.round(F.log(v) / log(RATIO)).cast("int")
+    each = F.array(*[F.struct(F.lit(s).alias("signal"), of(v).alias("bin")) for s, (v, _, _) in signals().items()])
+    return counts.where("n_words > 0").select("lang", "source", F.inline(each)).groupBy("lang", "source", "signal", "bin").agg(F.count("*").alias("n"))
+
+
+def quartiles(sketched: DataFrame, *by: str) -> DataFrame:
+    """by, k (documents) and of each signal the quartiles q1_.. and q3_.. of the sketches, merged by these columns."""
+    bins = sketched.groupBy(*by, "signal", "bin").agg(F.sum("n").alias("n"))
+    # a sketch has as many bins as its values have hundredths, whatever the documents
+    upto = F.sum("n").over(Window.partitionBy(*by, "signal").orderBy("bin"))
+    placed = bins.withColumns({"upto": upto, "k": F.sum("n").over(Window.partitionBy(*by, "signal"))})
+    at = lambda s, q: F.min(F.when((F.col("signal") == s) & (F.col("upto") >= q * F.col("k")), F.pow(F.lit(RATIO), F.col("bin"))))
+    return placed.groupBy(*by).agg(F.max("k").alias("k"), *[at(s, q).alias(f"{name}_{s}") for s in signals() for name, q in (("q1", 0.25), ("q3", 0.75))])
 
 
 def thresholds(counts: DataFrame) -> DataFrame:
     """of_lang, of_source and of each signal the least and greatest usual value, from the group's sketches."""
-    some = counts.where("n_words > 0")
-    sketched = some.groupBy("lang", "source").agg(F.count("*").alias("k"), *[F.kll_sketch_agg_double(v).alias(s) for s, (v, _) in signals().items()])
-    groups = counts.select("lang", "source").distinct().withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
-    merged = lambda rows, *by: rows.groupBy(*by).agg(F.sum("k").alias("k"), *[F.kll_merge_agg_double(s).alias(s) for s in signals()])
     from tallyfield.llm.common import stash
 
-    sketched = stash(sketched)
+    sketched = stash(sketches(counts))
+    groups = counts.select("lang", "source").distinct().withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
     named = lambda rows, tag: rows.select([F.col(c).alias(f"{tag}_{c}") for c in rows.columns])
-    own, tongue, all_ = named(sketched, "own"), named(merged(sketched, "lang"), "tongue"), named(merged(sketched), "all")
+    own, tongue, all_ = named(quartiles(sketched, "lang", "source"), "own"), named(quartiles(sketched, "lang"), "tongue"), named(quartiles(sketched), "all")
     told = groups.join(own, F.col("of_lang").eqNullSafe(F.col("own_lang")) & F.col("of_source").eqNullSafe(F.col("own_source")), "left")
     told = told.join(tongue, F.col("of_lang").eqNullSafe(F.col("tongue_lang")), "left").crossJoin(F.broadcast(all_))  # one row
     out = []
-    for s in signals():
-        sketch = F.when(F.col("own_k") >= LEAST, F.col(f"own_{s}")).when(F.col("tongue_k") >= LEAST, F.col(f"tongue_{s}")).otherwise(F.col(f"all_{s}"))
-        q = F.kll_sketch_get_quantile_double(sketch, F.array(F.lit(0.25), F.lit(0.75)))
-        out += [(q[0] - FENCE * (q[1] - q[0])).alias(f"low_{s}"), (q[1] + FENCE * (q[1] - q[0])).alias(f"high_{s}")]
+    for s, (_, _, below) in signals().items():
+        pick = lambda q, s=s: F.when(F.col("own_k") >= LEAST, F.col(f"own_{q}_{s}")).when(F.col("tongue_k") >= LEAST, F.col(f"tongue_{q}_{s}")).otherwise(F.col(f"all_{q}_{s}"))
+        q1, q3 = pick("q1"), pick("q3")
+        out.append((q3 + (RATE_FENCE if below is None else FENCE) * (q3 - q1)).alias(f"high_{s}"))
+        if below is not None:
+            out.append((q1 - FENCE * (q3 - q1)).alias(f"low_{s}"))
     return told.where("all_k > 0").select("of_lang", "of_source", *out)
 
 
@@ -98,8 +126,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, counts, base_failed, kept for each row of ``docs``.
 
     base_failed: under 10 words, or more than a fifth of the words in repeated five-word windows.
-    kept: not base_failed and every signal within the thresholds of the row's (lang, source), give or
-    take its own chance; nulls form a group like any value.  Repeated rows are judged each; an empty
+    kept: not base_failed and every signal within the thresholds of the row's (lang, source), by the
+    lowest rate that its count leaves possible; nulls form a group like any value.  Repeated rows are judged each; an empty
     table gives no rows.
     """
     from tallyfield.llm.common import stash
@@ -109,6 +137,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     joined = counts.join(limits, counts["lang"].eqNullSafe(F.col("of_lang")) & counts["source"].eqNullSafe(F.col("of_source")), "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     within = F.lit(True)
-    for s, (value, chance) in signals().items():
-        within = within & (value - NOISE * chance <= F.col(f"high_{s}")) & (value + NOISE * chance >= F.col(f"low_{s}"))
+    for s, (_, above, below) in signals().items():
+        within = within & (above <= F.col(f"high_{s}"))
+        if below is not None:
+            within = within & (below >= F.col(f"low_{s}"))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(within, F.lit(True))).alias("kept"))

@@ -233,3 +233,28 @@ def test_places_and_hashes_of_very_long_groups(spark):
     parts = spark.range(30_000).select((F.col("id") % 3 == 0).alias("k"), "id", F.col("id").cast("string").alias("p"))
     got = {r["k"]: r["digest"] for r in hashed(parts, ["k"], ["id"], "p", "-").collect()}
     assert got == {k: sha("-".join(str(i) for i in range(30_000) if (i % 3 == 0) == k)) for k in (True, False)}
+
+
+def test_stages_pass_columns_of_any_name(spark, tmp_path):
+    """Columns named like the stages' own come out as they went in; a very long text, ties and nulls among the rows."""
+    import corpus_pipeline
+
+    own = ["seqs", "cut", "__row", "__copies", "__copy", "__doc", "row", "component_id", "predicted", "size", "of"]
+    text = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(1, text(60, "a"), "en", "s", 5), (2, text(60, "a"), None, "s", 5), (2, text(300, "b"), "en", None, 5), (None, None, "en", "s", 5), (3, "", "en", "t", 5), (4, text(100_000, "long"), "en", "t", 5), (5, text(80, "c") + " " + text(60, "a"), "en", "t", 5)]
+    table = spark.createDataFrame([(*r, *[f"{n}{i}" for n in own]) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in own))
+    table.coalesce(1).write.parquet(f"{tmp_path}/t")
+    docs = spark.read.parquet(f"{tmp_path}/t")
+    want = {tuple(f"{n}{i}" for n in own) for i in range(len(rows))}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "/root/testdata/sf0.001")
+        assert got.columns == docs.columns, name
+        told = [tuple(r) for r in got.select(*own).collect()]
+        assert set(told) <= want, name
+        if name == "substrings":
+            assert sorted(told) == sorted(want)
+        if name == "near_duplicates":
+            assert len(told) == len(rows) - 1  # one of the two equal texts
+        if name == "mixing":
+            assert told
+    assert corpus_pipeline.packing(spark, docs, "").where("length > 0").count() >= len(rows)

@@ -145,13 +145,12 @@ def test_rules_match_brute_force(docs):
         assert r["base_failed"] == (len(w) < 10 or 100 * len(held) > 20 * len(w))
 
 
-def outside(value, chance, group):
-    """Outside of quartiles of ``group`` by more than thrice their distance and the value's own chance; None: too close to tell."""
-    told = set()
-    for a, b in ((22, 78), (25, 75), (28, 72)):  # within the sketches' error of rank
-        q = np.percentile(group, [a, b], method="inverted_cdf")
-        told.add(not q[0] - 3 * (q[1] - q[0]) <= value + 2 * chance or not value - 2 * chance <= q[1] + 3 * (q[1] - q[0]))
-    return told.pop() if len(told) == 1 else None
+def outside(value, group, fence, above=True):
+    """Beyond a quartile of ``group`` by more than ``fence`` times their distance; None: too close to tell for bins of one part in a hundred."""
+    q1, q3 = np.percentile(group, [25, 75], method="inverted_cdf")
+    edge, slack = (q3 + fence * (q3 - q1), 0.01 * (q3 + 2 * fence * q3)) if above else (q1 - fence * (q3 - q1), 0.01 * (q1 + 2 * fence * q3))
+    far = value - edge if above else edge - value
+    return None if abs(far) <= slack else far > 0
 
 
 def test_thresholds_are_each_groups_own(spark):
@@ -170,18 +169,33 @@ def test_thresholds_are_each_groups_own(spark):
     for source in (0, 1):
         mine = [got[i] for i in got if i % 2 == source]
         n = np.array([r["n_words"] for r in mine], float)
-        counts = {"n_symbols": 1.0, "n_dup_lines": 1.0, "n_repeat_words": 10.0}
-        values = [(np.array([r[c] for r in mine]) / n, np.sqrt(np.array([r[c] for r in mine]) * lump) / n) for c, lump in counts.items()]
+        values = []
+        for c, lump in {"n_symbols": 1.0, "n_dup_lines": 1.0, "n_repeat_words": 10.0}.items():
+            x = np.array([r[c] for r in mine], float)
+            spread = 2 * np.sqrt(x * lump)
+            values.append(((x - spread) / n, (x + spread + 4 * lump) / n, 1.5, True))
         length = np.array([r["word_chars"] for r in mine]) / n
-        values.append((length, 0.5 * length / np.sqrt(n)))
+        values += [(length - length / np.sqrt(n), length, 3.0, True), (length + length / np.sqrt(n), length, 3.0, False)]
         for i, r in enumerate(mine):
-            verdicts = [outside(v[i], c[i], v) for v, c in values]
+            verdicts = [outside(v[i], g, fence, above) for v, g, fence, above in values]
             if None not in verdicts:
                 known += 1
                 assert r["kept"] == (not r["base_failed"] and not any(verdicts))
     assert known > 500
 
 
+def test_thresholds_are_rates_where_most_texts_have_no_sign(spark):
+    """A group whose quartiles of signs are 0: a few signs are nothing in a long text and much in a short one; reruns agree."""
+    rng = np.random.default_rng(8)
+    text = lambda n, signs: " ".join(f"w{rng.integers(10**9)}" for _ in range(n)) + " " + "".join(f"v{j}# " for j in range(signs))
+    rows = [(i, text(int(rng.integers(100, 300)), 0), "en", "plain", 0) for i in range(400)]
+    rows += [(500, text(20_000, 40), "en", "plain", 0), (501, text(20_000, 5), "en", "plain", 0), (502, text(60, 40), "en", "plain", 0), (503, text(2000, 1500), "en", "plain", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    one, two = ({r["doc_id"]: (r["kept"], r["n_symbols"]) for r in quality_rules(d).collect()} for d in (docs, docs.repartition(7)))
+    assert one == two and one[500] == (True, 40) and one[501] == (True, 5) and one[502] == (False, 40) and one[503] == (False, 1500)
+    assert all(v[0] for k, v in one.items() if k < 500)
+
+
 def test_small_groups_take_their_languages_thresholds(spark):
     text = lambda i, sign: " ".join(f"w{i}x{j}{sign}" for j in range(80))
     rows = [(i, text(i, "#"), "xx", "big", 0) for i in range(150)] + [(200 + i, text(i, "#"), "xx", "few", 0) for i in range(5)]
@@ -324,8 +338,8 @@ def test_stages_decide_by_row(spark, docs, tmp_path):
     rows = [*some, good, (None, *good[1:]), (None, *junk[1:]), (good[0], *junk[1:]), (junk[0], *good[1:])]
     made = table(rows, "q")
     left = Counter(tuple(r) for r in corpus_pipeline.quality(spark, made, SF).select("doc_id", "text").collect())
-    numbers = corpus_pipeline.numbered(made)
-    bad = {r["text"] for r in classify_quality(numbers, lab, row="__row").where("predicted = 0").join(numbers.select("__row", "text"), "__row").collect()}
+    numbers, row = corpus_pipeline.numbered(made)
+    bad = {r["text"] for r in classify_quality(numbers, lab, row=row).where("predicted = 0").join(numbers.select(row, "text"), row).collect()}
     assert left == Counter(r[:2] for r in rows if r[1] not in bad)
 
     text = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
