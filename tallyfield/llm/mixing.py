@@ -187,7 +187,11 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed:
     Rows are told apart by their number, not by doc_id, so ids may be null or repeated; for that ``docs``
     must be a table that is read in the same order each time, as Parquet files are.
     """
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    plan = mix_sources(rows.select(F.col("__row").alias("doc_id"), "source", words(F.col("text")).alias("size")), weights, seed)
-    kept = rows.join(plan.where("copies > 0").select(F.col("doc_id").alias("__row"), F.col("copies").alias("__copies")), "__row")
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
+    from tallyfield.llm.common import unused
+
+    row, copies = unused("__row", docs), unused("__copies", docs)
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    plan = mix_sources(rows.select(F.col(row).alias("doc_id"), "source", words(F.col("text")).alias("size")), weights, seed)
+    kept = rows.join(plan.where("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").alias(copies)), row)
+    each = F.sequence(F.lit(1).cast("long"), F.col(copies))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(each).alias(copies)).drop(copies)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyfield.llm.common import WordHashes, as_bytes, mix, rowwise
+from tallyfield.llm.common import WordHashes, as_bytes, mix, rowwise, unused
 
 BITS, REACH = 2, 6
 LONGEST = 64  # words of a chunk
@@ -159,12 +159,12 @@ def spans(text: bytes, repeated: set[int], hashes: WordHashes) -> list[tuple[int
     return [(words[starts[a]].start(), words[ends[z]].start() if ends[z] < len(words) else len(text)) for a, z in out]
 
 
-def _edited(batches):
+def _edited(cut_name: str, batches):
     hashes = WordHashes()
     for batch in batches:
         for part in rowwise(batch):
             texts, cut = [], []
-            for raw, seqs in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("seqs").to_pylist(), strict=True):
+            for raw, seqs in zip(part.column(part.num_columns - 2).cast(pa.binary()).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
                 gone = spans(raw, set(seqs), hashes) if raw and seqs else []
                 if gone:
                     at, keep = 0, []
@@ -174,7 +174,7 @@ def _edited(batches):
                     raw = b"".join([*keep, raw[at:]]).rstrip()
                 texts.append(raw)
                 cut.append([{"start": a, "end": b} for a, b in gone])
-            names = [*part.schema.names[:-2], "text", "cut"]
+            names = [*part.schema.names[:-2], "text", cut_name]
             spans_ = pa.array(cut, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(texts, pa.binary()).cast(pa.string()), spans_], names=names)
 
@@ -187,19 +187,19 @@ def repeated_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return later.groupBy("doc").agg(F.collect_set("seq").alias("seqs"))
 
 
-def dedup_substrings(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def dedup_substrings(docs: DataFrame, least: int = LEAST, cut: str = "cut") -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, and ``cut``: their byte spans in the old text.
 
-    Needs doc_id and text; other columns pass through (one named ``cut`` or ``seqs`` is replaced).
+    Needs doc_id and text; other columns pass through (one named as ``cut`` says is replaced).
     Words are compared byte by byte, white space between them isn't.  Of a repeated passage the text
     with the smallest doc_id keeps its copy (in one text, the first place).  A text that is all
     repetition becomes empty and stays as a row; texts without repetition are unchanged, nulls stay
     null.  Rows that repeat a doc_id with the same text keep it, others are texts of their own; a null doc_id takes no part.
     """
-    plain = docs.drop("cut", "seqs")
-    keep = [c for c in plain.columns if c != "text"]
-    told = repeated_runs(plain, least).withColumnRenamed("doc", "__doc")
-    joined = plain.join(told, F.col("doc_id") == F.col("__doc"), "left").select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("text"), F.col("seqs"))
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "text"), "text string, cut array<struct<start:bigint,end:bigint>>"])
-    out = joined.mapInArrow(_edited, fields)
-    return out.select(*[F.col(f"`{c}`") for c in plain.columns], "cut")
+    plain = docs.drop(cut)
+    keep, doc, seqs = [c for c in plain.columns if c != "text"], unused("__doc", plain), unused("seqs", plain)
+    told = repeated_runs(plain, least).withColumnsRenamed({"doc": doc, "seqs": seqs})
+    joined = plain.join(told, F.col("doc_id") == F.col(doc), "left").select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("text"), F.col(seqs))
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "text"), f"text string, `{cut}` array<struct<start:bigint,end:bigint>>"])
+    out = joined.mapInArrow(functools.partial(_edited, cut), fields)
+    return out.select(*[F.col(f"`{c}`") for c in plain.columns], F.col(f"`{cut}`"))
