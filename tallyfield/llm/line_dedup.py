@@ -176,7 +176,8 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, batches: int = BATCHES) ->
 
     row, gone = unused("row", docs), unused("drops", docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.withColumn(row, number).join(drops.select(F.col("row").alias(row), F.col("drops").alias(gone)), row, "left")
+    # the same join at every size: the drops of a large table are no broadcast
+    joined = docs.withColumn(row, number).join(drops.select(F.col("row").alias(row), F.col("drops").alias(gone)).hint("merge"), row, "left")
     kept = {
         "n_lines": (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
         "n_dropped": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
