@@ -126,7 +126,7 @@ def test_prune_keeps_one_of_close_columns(spark):
 
     rows = [(float(i), float(i) * 2 + (i % 3) * 0.01, float(i * 7 % 11), float(i % 2), 1.0, None if i % 4 else float(i)) for i in range(40)]
     df = spark.createDataFrame(rows, "a double, b double, c double, y double, flat double, thin double")
-    kept = prune(df, ["a", "b", "c", "flat", "thin"], "y")
+    kept = prune(df, ["a", "b", "c", "flat", "thin"], "y", least=10)
     assert len({"a", "b", "thin"} & set(kept)) == 1 and {"c", "flat"} <= set(kept)
 
 
