@@ -2,17 +2,22 @@
 
 The standard library's parser streams a page's events.  Block-level tags part the text into lines, and
 sectioning elements, lists and tables make nested boxes.  A line's ratio is its text outside of links
-over its tags; elements that usually aren't the article (footers, asides, forms, and those whose class,
-id or role says so) only weaken it, once for each such box around the line, and an article or main element
-strengthens it as much.  What can't be text
-(scripts, styles, templates, navigation, form controls, hidden elements) makes no line.
+over its tags, strengthened in an article or main element.  What can't be text (scripts, styles,
+templates, navigation, form controls, hidden elements) makes no line.
+
+Boxes that usually aren't the article (footers, asides, forms, those whose class, id or role says so, and
+what follows a heading like "3 Comments") compete by place: their lines have a ratio only where no box
+less deep in such boxes holds prose, however dense they are.  One that holds the main element, or all
+first-level headings and more prose than the rest of the page, or a form around most of the prose, is
+taken for the page's frame and counts as any other box.
 
 Ratios are smoothed by a Gaussian along the page; lines above a share of their spread form the content
 clusters.  The region is the innermost box that holds most of the clusters' text, widened to the
 article or main element around it, or to the outermost box that adds lines which are content by
-themselves.  All of the region is kept but lists of links outside of clusters, weakened boxes whose
-ratio stays below that of the region's clusters, and, unless the region is an article or main element, boxes
-that no cluster touches.
+themselves; beside an article, other articles with prose belong to it, and the main element's h1 where
+the articles have none.  All of the region is kept but lists of links outside of clusters, boxes that
+usually aren't the article, and, unless the region is an article or main element, boxes that no cluster
+touches.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyfield.llm.common import rowwise
 
 SIGMA, SHARE = 1.5, 0.5
-WEIGHT = 0.2  # of a line's ratio, for each box around it that usually isn't the article
+NAMED = 5.0  # strengthens the ratio of lines in an article or main element
 MOST = 0.5  # share of the clusters' text that the region's core holds
 NEVER = set("script style noscript template head title nav menu button select option textarea input iframe svg canvas object".split())
 BLOCKS = set("p div article section main body h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody tfoot caption blockquote pre hr figure figcaption address details summary fieldset center html header footer aside form dialog".split())
@@ -37,9 +42,13 @@ BOXES = set("article main section div body td th blockquote ul ol dl table heade
 LOOSE = set("div section center fieldset".split())  # boxes that may stand around anything
 WHOLE = set("article main".split())
 WEAK = set("footer aside form dialog label".split())
+NEVER_FRAME = set("footer aside dialog label header li p".split())  # weak boxes that can't be the page's frame
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Before a token of ASIDE: the element has such a part, it isn't one (has-sidebar, no-sidebar).
+ABOUT = set("has no not with without".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Tokens of class, id or role that make it less likely that an element is the article.
-ASIDE = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header login menu modal nav navbar navigation newsletter notice notices alert pagination popup promo related recommended replies reply responses share sharing shares sidebar signup social sponsor sponsored subscribe toolbar widget complementary contentinfo search discussion gdpr masthead topbar".split())
+ASIDE = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header login menu modal nav navbar navigation newsletter notice notices alert pagination popup promo related recommended replies reply responses commentlist thread share sharing shares sidebar signup social sponsor sponsored subscribe toolbar widget complementary contentinfo search discussion gdpr masthead topbar".split())
 #: Start tags that end an open p.
 CLOSES_P = BLOCKS - set("td th tr thead tbody tfoot caption body html summary figcaption".split())
 #: Elements whose end tag may be left out: start tag -> what it ends, and the elements that this may not leave.
@@ -49,6 +58,9 @@ AROUND_P = tuple(BOXES | {"li", "dt", "dd"})
 _SPACE = re.compile(r"\s+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none")
+_SENTENCE = re.compile(r"[.!?\u2026\u3002]\W*$")
+#: Headings of reader comments, in the languages of the documents.
+_COMMENTS = re.compile(r"\W*(\d+\W*)?(reader |user )?(comments?|replies|responses|kommentare?|antworten|commentaires?|réponses|comentarios?|respuestas)\W*(\d+\W*)?|leave a (comment|reply)\W*", re.I)
 
 
 class Line(NamedTuple):
@@ -56,6 +68,7 @@ class Line(NamedTuple):
     tags: int
     linked: int  # characters inside links
     box: int
+    block: str  # tag of the innermost block element
 
 
 class Box(NamedTuple):
@@ -69,7 +82,13 @@ def is_hidden(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 def says_aside(attrs: list[tuple[str, str | None]]) -> bool:
-    return any(k in ("class", "id", "role") and v and not ASIDE.isdisjoint(re.split(r"[^a-z]+", _CAMEL.sub(r"\1-\2", v).lower())) for k, v in attrs)
+    for k, v in attrs:
+        if k in ("class", "id", "role") and v:
+            for name in v.split():
+                tokens = re.split(r"[^a-z]+", _CAMEL.sub(r"\1-\2", name).lower())
+                if any(t in ASIDE and not (i and tokens[i - 1] in ABOUT) for i, t in enumerate(tokens)):
+                    return True
+    return False
 
 
 class Lines(HTMLParser):
@@ -84,14 +103,42 @@ class Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = self.linked = 0
         self.lines: list[Line] = []
+        self.root = 0  # box of what no element is around
+        self.comments: dict[int, tuple[str, int]] = {}  # depth of an element -> heading of its reader comments, box before
 
     def line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append(Line(text, self.tags, min(self.linked, len(text)), self.stack[-1][1] if self.stack else 0))
+            block = self.stack[self.blocks[-1]][0] if self.blocks else ""
+            if block in HEADINGS:
+                self._heading(block, text)
+            self.lines.append(Line(text, self.tags, min(self.linked, len(text)), self.stack[-1][1] if self.stack else self.root, block))
             self.tags = 0
         self.parts, self.linked = [], 0
 
+    def _heading(self, tag: str, text: str) -> None:
+        """Reader comments begin at a heading that says so and end at one of its rank, or with the element around."""
+        at = self.blocks[-1]
+        held = self.comments.get(at)
+        if held and tag <= held[0]:
+            self._rebox(at, held[1])
+            del self.comments[at]
+            held = None
+        if not held and tag != "h1" and self.lines and _COMMENTS.fullmatch(text):
+            before = self.stack[at - 1][1] if at else self.root
+            self.boxes.append(Box("comments", before, True))
+            self.comments[at] = (tag, before)
+            self._rebox(at, len(self.boxes) - 1)
+
+    def _rebox(self, at: int, box: int) -> None:
+        """Put the element around place ``at`` of the stack, and those of ``at`` and on, into ``box``."""
+        if at:
+            self.stack[at - 1] = (self.stack[at - 1][0], box, self.stack[at - 1][2])
+        else:
+            self.root = box
+        for i in range(at, len(self.stack)):
+            self.stack[i] = (self.stack[i][0], box, self.stack[i][2])
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
             self.parts.append(" ")
@@ -101,7 +148,7 @@ class Lines(HTMLParser):
             ended, within = IMPLIED[tag]
             for t in ended:
                 self._end(t, within)
-        _, box, hidden = self.stack[-1] if self.stack else ("", 0, False)
+        _, box, hidden = self.stack[-1] if self.stack else ("", self.root, False)
         if tag in BLOCKS:
             self.line()
         self.tags += not hidden
@@ -142,8 +189,9 @@ class Lines(HTMLParser):
             return
         if self.blocks and self.blocks[-1] >= at:
             self.line()
-        for t, _, _ in self.stack[at:]:
+        for i, (t, _, _) in enumerate(self.stack[at:], at + 1):
             self.opened[t].pop()
+            self.comments.pop(i, None)
         del self.stack[at:]
         while self.blocks and self.blocks[-1] >= at:
             self.blocks.pop()
@@ -165,6 +213,23 @@ def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(x, k / k.sum(), "same") if len(x) > 2 * reach else np.convolve(np.pad(x, reach), k / k.sum(), "valid")
 
 
+def is_prose(line: Line) -> bool:
+    """A paragraph, a sentence or five words, no heading."""
+    return line.block not in HEADINGS and (line.block == "p" or line.text.count(" ") >= 4 or bool(_SENTENCE.search(line.text)))
+
+
+def weak_boxes(boxes: list[Box], of: np.ndarray, prose: np.ndarray, titles: list[float]) -> list[bool]:
+    """Weak boxes but those that are the page's frame; ``prose`` by line, ``titles`` (h1) by box with those in it."""
+    mains, owner = [b.tag == "main" for b in boxes], [0] * len(boxes)
+    for b in range(len(boxes) - 1, 0, -1):
+        mains[boxes[b].outer] |= mains[b]
+    for b in range(1, len(boxes)):
+        owner[b] = b if boxes[b].weak else owner[boxes[b].outer]
+    own = np.bincount(np.array(owner)[of], prose, len(boxes))  # of each weak box, without weak boxes in it
+    most = own > own[0]
+    return [x.weak and not (x.tag not in NEVER_FRAME and (mains[b] or most[b] and (x.tag == "form" or 0 < titles[b] == titles[0]))) for b, x in enumerate(boxes)]
+
+
 def content(lines: list[Line], boxes: list[Box]) -> list[str]:
     """Lines of the content region."""
     if not lines:
@@ -172,13 +237,7 @@ def content(lines: list[Line], boxes: list[Box]) -> list[str]:
     outer = [b.outer for b in boxes]
     of = np.array([x.box for x in lines])
     chars, linked, tags = (np.array(x, float) for x in zip(*((len(x.text), x.linked, x.tags) for x in lines), strict=True))
-
-    def depths(top: int) -> np.ndarray:
-        """Weak boxes around each box, those below ``top`` only."""
-        out = [0] * len(boxes)
-        for b in range(1, len(boxes)):
-            out[b] = 0 if b == top else out[outer[b]] + boxes[b].weak
-        return np.array(out)
+    prose = (2 * linked <= chars) & np.array([is_prose(x) for x in lines])
 
     def totals(x: np.ndarray) -> list[float]:
         """Sums of the lines in each box and the boxes in it."""
@@ -187,21 +246,25 @@ def content(lines: list[Line], boxes: list[Box]) -> list[str]:
             out[outer[b]] += out[b]
         return out
 
-    plain = (chars - linked) / np.maximum(tags, 1)
-    named = [False] * len(boxes)
+    weak = weak_boxes(boxes, of, chars * prose, totals(np.array([x.block == "h1" for x in lines], float)))
+    deep, named = [0] * len(boxes), [False] * len(boxes)
     for b in range(1, len(boxes)):
+        deep[b] = deep[outer[b]] + weak[b]
         named[b] = named[outer[b]] or boxes[b].tag in WHOLE
-    weight = WEIGHT ** (np.minimum(depths(0), 3)[of] - np.array(named, float)[of])
-    ratio = plain * weight
+    depth = np.array(deep)[of]
+    # lines deeper in weak boxes than the least deep prose have no ratio
+    least = int(depth[prose].min() if prose.any() else depth.min())
+    able = depth <= least
+    ratio = able * (chars - linked) / np.maximum(tags, 1) * np.where(np.array(named)[of], NAMED, 1.0)
     even = smooth(ratio)
     level = min(SHARE * even.std(), even.max())
-    high = even >= level
-    mass, alone = totals(chars * weight * high), totals(chars * weight * (high & (ratio >= level)))
+    high = able & (even >= level)
+    mass, alone = totals(chars * high), totals(chars * (high & (ratio >= level)))
 
     # the innermost box with most of the clusters' text, widened
     core = 0
     for b in range(1, len(boxes)):  # boxes in it come after it
-        if outer[b] == core and mass[b] >= MOST * mass[0]:
+        if outer[b] == core and mass[b] > 0 and mass[b] >= MOST * mass[0]:
             core = b
     path = [core]
     while path[-1] and boxes[path[-1]].tag not in WHOLE:
@@ -214,27 +277,32 @@ def content(lines: list[Line], boxes: list[Box]) -> list[str]:
     sure = boxes[region].tag in WHOLE
 
     # what of the region isn't content
-    below = depths(region)
-    n, some, links, tagged, up = totals(np.ones(len(lines))), totals(chars), totals(linked), totals(tags), totals(high * 1.0)
-    inside = [False] * len(boxes)
-    inside[region] = True
-    for b in range(region + 1, len(boxes)):
-        inside[b] = inside[outer[b]]
-    mine = np.array(inside)[of] & (below[of] == 0) & high
-    usual = float(np.median(plain[mine])) if mine.any() else 0.0
-    kept = list(inside)
-    for b in range(region + 1, len(boxes)):
-        kept[b] = inside[b] and kept[outer[b]] and n[b] > 0
-        if not kept[b]:
+    n, some, links, told, up = totals(np.ones(len(lines))), totals(chars), totals(linked), totals(prose & able), totals(high * 1.0)
+    kept, head = [False] * len(boxes), [False] * len(boxes)  # head: in the main element around the article
+    kept[region] = True
+    around = region
+    while around and boxes[around].tag != "main":
+        around = outer[around]
+    for b in range(1, len(boxes)):
+        head[b] = b == around or head[outer[b]]
+        if b == region:
+            continue
+        if boxes[region].tag == "article" and boxes[b].tag == "article" and not kept[outer[b]]:
+            kept[b] = deep[b] <= least and told[b] > 0 and 2 * links[b] <= some[b]  # another article
             continue
-        if boxes[b].weak and WEIGHT * (some[b] - links[b]) / max(tagged[b], 1) < usual:
+        kept[b] = kept[outer[b]] and n[b] > 0
+        if weak[b] and (deep[b] > least or not up[b]):
             kept[b] = False
         elif 2 * links[b] > some[b] and 2 * up[b] < n[b]:
             kept[b] = False
         elif not sure and boxes[b].tag in LOOSE and not up[b]:
             kept[b] = False
     menu = (2 * linked > chars) & ~high & (not sure)
-    return [x.text for x, m in zip(lines, menu, strict=True) if kept[x.box] and not m]
+    stay = np.array(kept)[of] & ~menu
+    title = np.array([x.block == "h1" for x in lines])
+    if sure and around and around != region and not (title & stay).any():
+        stay |= title & able & np.array(head)[of]
+    return [x.text for x, s in zip(lines, stay, strict=True) if s]
 
 
 def main_text(html: str) -> str:

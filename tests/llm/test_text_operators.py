@@ -397,6 +397,39 @@ def test_pages_of_many_kinds(html, first):
     assert html_extraction.main_text("<body>" + html % body + "</body>") == "\n\n".join([*first, *(x.strip() for x in ARTICLE)])
 
 
+TAGGED = "".join(f"<p>Article {i}, a short <b>one</b> with <i>some</i> <a href=x>tags</a>.</p>" for i in range(6))
+DENSE = "<p>" + "Zealous words of a dense text go on and on here. " * 40 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("html", "articles"),
+    [
+        ("<div class=main>%s</div><div id=comments>{0}{0}</div>", 1),
+        ("<article>%s<section class=comments>{0}</section></article>", 1),
+        ("<article><div class=cookie-banner>{0}</div>%s</article>", 1),
+        ("<article>%s<aside>{0}</aside></article>", 1),
+        ("<article>%s</article><article>%s</article>", 2),
+        ("<header>{0}</header><article>%s</article><article>%s</article><article>%s</article><footer>{0}</footer>", 3),
+        ("<article>%s</article><h2>3 Comments</h2><ol class=thread><li>{0}</ol>", 1),
+        ("<div>%s</div><h3>3 Comments</h3><ol><li>{0}<li>{0}</ol><h3>More</h3>%s", 2),
+        ("<article>%s<h2>Kommentare (2)</h2><ol><li>{0}</ol></article><footer>{0}</footer>", 1),
+        ("<form><h1>Title</h1><div class=content>%s</div><div class=sidebar>{0}</div></form>", 1),
+        ("<div class='widget layout'><h1>Title</h1>%s</div><p>Enable scripts.</p>", 1),
+    ],
+)
+def test_asides_denser_than_the_article_go_and_articles_stay(html, articles):
+    text = html_extraction.main_text("<body>" + html.format(DENSE).replace("%s", TAGGED) + "</body>")
+    assert "Zealous" not in text and text.count("Article") == 6 * articles
+
+
+def test_pages_of_little_text():
+    f = html_extraction.main_text
+    assert f(f"<h1>T</h1><p>Short one.</p><footer>{DENSE}</footer>") == "T\n\nShort one."
+    assert f(f"<article><h1>T</h1><p>Short one.</p></article><footer>{DENSE}</footer>") == "T\n\nShort one."
+    assert f("<main><h1>T</h1><article><p>Short one.</p></article><div><a href=x>Next</a></div></main>") == "T\n\nShort one."
+    assert f("<footer>All there is.</footer>") == "All there is." and f("<p></p>") == f("") == ""
+
+
 def test_menus_without_a_telling_class_are_told_by_their_ratio():
     parser = html_extraction.Lines()
     parser.feed("".join(f'<div><a href="/{i}">Menu {i}</a></div>' for i in range(9)) + "<div>" + "".join(f"<p>{x}</p>" for x in ARTICLE) + "</div>")
