@@ -7,9 +7,11 @@ keeps both expectations, until one is 0 or 1.  One document of each pair is sett
 on, so a block of documents folds to one residual; residuals of blocks meet in the next level of the
 tree, until a source has one residual.  About ``RESERVE`` documents of each source, chosen by hash, wait
 for it at the root.  There, from the longest on, each exchanges mass with all shorter ones together, as
-if they were one document: their common probability changes a little, the document is settled, and so
-on down to the shortest.  A source's taken words thus miss its target by about its shortest documents,
-and a document's expected copies are its share all the same.
+if they were one document: their common number of copies, anything from 0 to MOST, changes a little, the
+document is settled at the whole number above or below, and so on down to the shortest.  Shorter documents
+thus make up for a long one by copies more or less than their share's two whole numbers; a source's taken
+words miss its target by about its shortest documents.  A document's expected copies are its share, but for
+those of the root whose two whole numbers the shorter ones can't both make up for: there the target decides.
 
 Blocks come from hashes of doc_id, so a hot source has as many blocks as it needs and no window or
 group holds more than about ``BLOCK`` or ``RESERVE`` documents; random numbers are hashes too, so reruns
@@ -50,7 +52,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Da
     done, all_ = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     level = (F.sum("source_size").over(all_) - F.coalesce(F.sum("cap").over(done), F.lit(0.0))) / (F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(done), F.lit(0.0)))
     # the level at which this source is the first not capped; the true one is the first that its own ratio reaches
-    by = by.withColumn("level", level).withColumn("true", F.min(F.when(F.col("ratio") >= F.col("level") * (1 - 1e-12), F.struct("ratio", "level"))).over(all_)["level"])
+    by = by.withColumn("level", level).withColumn("at", F.row_number().over(order)).withColumn("true", F.min(F.when(F.col("ratio") >= F.col("level") * (1 - 1e-12), F.struct("at", "level"))).over(all_)["level"])
     return by.select("source", "source_size", F.least("cap", F.coalesce(F.col("true"), F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
@@ -91,25 +93,33 @@ def _fold(items: Column, seed: int) -> Column:
     return F.aggregate(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), start, step)
 
 
-def _root(held: Column, items: Column, p: Column, seed: int) -> Column:
-    """The residual (or null) and the reserve, an array of docs of equal probability ``p``: all, with 0 or 1."""
+def _root(held: Column, items: Column, p: Column, base: Column, seed: int) -> Column:
+    """The residual (or null) and the reserve, an array of docs of equal probability ``p``: all, with whole numbers.
+
+    Numbers are copies beyond ``base``; those of the reserve may be any from ``-base`` to ``MOST - base``.
+    """
     total = F.aggregate(items, F.lit(0).cast("long"), lambda n, x: n + x["size"])
     first = F.when(held.isNull(), F.array().cast(SETTLED)).otherwise(F.array(held))
     # those of the reserve have no probability of their own: the group's
     queue = F.concat(first, F.transform(F.sort_array(items, asc=False), lambda x: F.struct(F.lit(None).cast("double").alias("p"), *_doc(x))))
+    least, most = -base.cast("double"), MOST - base.cast("double")
 
     def step(state: Column, x: Column) -> Column:
         size, q = x["size"].cast("double"), F.coalesce(x["p"], state["p"])
+        whole = F.floor(q + 1e-9).cast("double")
+        part = F.greatest(q - whole, F.lit(0.0))
         rest = F.when(x["p"].isNull(), state["left"] - x["size"]).otherwise(state["left"]).cast("double")
-        up, down = F.least(size * (1 - q), rest * state["p"]), F.least(size * q, rest * (1 - state["p"]))
-        none = (up + down) <= 0
-        draw = _unit(F.lit(seed), F.lit("root"), x["u"])
-        rise = draw * (up + down) < down
-        mine = F.when(none, q).when(rise, q + up / size).otherwise(q - down / size)
-        # where the shorter ones cannot make up for it, what is left of this one's part is drawn
-        one = F.when(mine >= 1 - 1e-9, 1.0).when(mine <= 1e-9, 0.0).when(_unit(F.lit(seed), F.lit("last"), x["u"]) < mine, 1.0).otherwise(0.0)
-        after = F.when(none, state["p"]).otherwise(state["p"] - F.when(rise, up).otherwise(-down) / rest)
-        return F.struct(rest.cast("long").alias("left"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), after)).alias("p"), F.concat(state["done"], F.array(F.struct(one.alias("p"), *_doc(x)))).alias("done"))
+        up = F.least(size * (1 - part), rest * (state["p"] - least))
+        down = F.least(size * part, rest * (most - state["p"]))
+        none = part <= 1e-9
+        up_all, down_all = size * (1 - part) - up <= 1e-6, size * part - down <= 1e-6
+        # where the shorter ones can make up for one way only, it is that; where for none, the nearer one
+        drawn = _unit(F.lit(seed), F.lit("root"), x["u"]) < part
+        rise = F.when(up_all & down_all, drawn).when(up_all | down_all, up_all).otherwise(size * (1 - part) - up <= size * part - down)
+        one = F.when(~none & rise, 1.0).otherwise(0.0)
+        after = F.when(none | (rest <= 0), state["p"]).otherwise(state["p"] - F.when(rise, up).otherwise(-down) / rest)
+        settled = F.struct((whole + one).alias("p"), *_doc(x))
+        return F.struct(rest.cast("long").alias("left"), F.greatest(least, F.least(most, after)).alias("p"), F.concat(state["done"], F.array(settled)).alias("done"))
 
     start = F.struct(total.alias("left"), p.alias("p"), F.array().cast(SETTLED).alias("done"))
     return F.aggregate(queue, start, step)["done"]
@@ -148,7 +158,7 @@ def mix_sources(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: in
 
     # the reserve waits for the root; of the others, level 0 has blocks by hash, and each further level
     # blocks of residuals, until one is left for each source
-    told = by_source(docs, rates.select("of", "k", "p")).withColumn("p", F.when(F.col("size") > 0, F.col("p")).otherwise(0.0))
+    told = by_source(docs, rates.select("of", "k", "p", "base")).withColumn("p", F.when(F.col("size") > 0, F.col("p")).otherwise(0.0))
     waits = F.pmod(F.xxhash64(F.lit(seed), F.lit("wait"), "u"), F.greatest(F.lit(1), F.ceil(F.col("k") / RESERVE)).cast("long")) == 0
     told = stash(told.withColumn("waits", waits))
     plain = told.where("p = 0").select("source", F.lit(0.0).alias("p"), "doc_id", "nth", "u", "size")
@@ -164,14 +174,14 @@ def mix_sources(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: in
         held = folded.where("blocks = 1").select("source", F.col("out.held").alias("held"))
         root = held if root is None else root.unionByName(held)
         level = folded.where("blocks > 1").select("source", F.col("blocks").alias("k"), "out.held.*")
-    waiting = told.where("p > 0 and waits").groupBy("source").agg(F.max("p").alias("p"), F.collect_list(F.struct("size", "u", "doc_id", "nth")).alias("items"))
+    waiting = told.where("p > 0 and waits").groupBy("source").agg(F.max("p").alias("p"), F.max("base").alias("base"), F.collect_list(F.struct("size", "u", "doc_id", "nth")).alias("items"))
     if root is not None:
         # a source has at most one residual; one without reserve is rounded by itself
         root = root.withColumnRenamed("source", "of")
-        ends = waiting.join(root, F.col("source").eqNullSafe(F.col("of")), "full").select(F.coalesce("source", "of").alias("source"), F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("items", F.array().cast("array<struct<size:bigint,u:bigint,doc_id:bigint,nth:bigint>>")).alias("items"), "held")
+        ends = waiting.join(root, F.col("source").eqNullSafe(F.col("of")), "full").select(F.coalesce("source", "of").alias("source"), F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("base", F.lit(0)).alias("base"), F.coalesce("items", F.array().cast("array<struct<size:bigint,u:bigint,doc_id:bigint,nth:bigint>>")).alias("items"), "held")
     else:
         ends = waiting.withColumn("held", F.lit(None).cast(SETTLED[6:-1]))
-    settled.append(stash(ends.withColumn("done", _root(F.col("held"), F.col("items"), F.col("p"), seed)).select("source", F.explode("done").alias("d"))).select("source", "d.*"))
+    settled.append(stash(ends.withColumn("done", _root(F.col("held"), F.col("items"), F.col("p"), F.col("base"), seed)).select("source", F.explode("done").alias("d"))).select("source", "d.*"))
     decided = settled[0]
     for x in settled[1:]:
         decided = decided.unionByName(x)
