@@ -1,11 +1,15 @@
-"""Document fingerprints by SpotSigs: chains of content words that follow spots.
-
-Spots are common-word anchors and, so that texts without any have spots too, one content word in
-``EVERY``, told by its hash.  After each spot the next ``CHAIN`` words that aren't common form a chain,
-hashed with its spot.  A document's signatures are the set of these hashes.  Sets are partitioned by
-their length, in steps of one over the threshold: a set can only be as like as the threshold to sets of
-its own partition and the two beside it, and there only if the lengths themselves allow it; what is left
-is intersected.
+"""Document fingerprints by SpotSigs: chains of content words that follow common-word anchors.
+
+Every common word is an anchor: the next ``CHAIN`` words that aren't common form a chain, hashed with it.
+Where no anchor is among the ``GAP`` words before (beginnings, lists, texts of other languages), one content word in
+``EVERY``, told by its hash, is a spot as well, so that an edit moves only the spots near it.  A document's
+signatures are the set of these hashes.
+
+Likeness is the Jaccard value itself, for every pair that is asked for.  Whether two sets are ``alike`` is
+decided before that: sets are partitioned by their length, in steps of one over the threshold, so that a
+set can only be alike to sets of its own partition and the two beside it; there the lengths, and then block
+by block of the sorted lists the most that can still be shared, end a comparison as soon as it can't
+succeed.
 """
 
 from __future__ import annotations
@@ -24,29 +28,28 @@ from tallyfield.llm.common import as_bytes, distinct_sorted, mix, rowwise
 
 # Common words that are skipped when a chain is built.
 COMMON = "the of and to in is that it for on with as are be was at by this from or an a he der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an le la les de des et en un une du que pour dans par au sur ne pas il elle est avec qui el los las y que se del una con para su al lo como más no".split()
-# Those that begin a chain: the most frequent few of each language.
-ANCHORS = "the of and to der die und den le la de et el los y que".split()
 CHAIN = 2
+GAP = 12
 EVERY = 4
-THRESHOLD = 0.1  # likeness below it counts as none
+ALIKE = 0.8
+BLOCK = 256  # signatures between two looks at what can still be shared
 MOST_RANGES = 20_000  # ranges of documents that the driver knows boundaries of; beyond it ranges grow
 
 
 class Words(dict):
-    """Word -> hash with its two lowest bits telling common words (1) and anchors (3)."""
+    """Word -> hash with its lowest bit telling common words."""
 
     limit = 300_000
 
     def __init__(self):
         super().__init__()
         self.common = {w.encode() for w in COMMON}
-        self.anchors = {w.encode() for w in ANCHORS}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
         w = word.rstrip(b".,;:!?")
-        v = self[word] = xxhash.xxh3_64_intdigest(w) & ~3 | (3 if w in self.anchors else 1 if w in self.common or not w else 0)
+        v = self[word] = xxhash.xxh3_64_intdigest(w) & ~1 | (w in self.common or not w)
         return v
 
 
@@ -57,14 +60,16 @@ def signatures(text: bytes, words: Words) -> np.ndarray:
     """
     split = text.lower().split()
     h = np.fromiter(map(words.__getitem__, split), np.uint64, len(split))
-    kind = h & np.uint64(3)
-    content = h[kind == 0]
+    common = (h & np.uint64(1)) == 1
+    content = h[~common]
     if not len(h):
         return np.zeros(0, np.uint32)
     if not len(content):
         return np.array([mix(h.sum(dtype=np.uint64, keepdims=True))[0] >> np.uint64(32)], np.uint32)
-    at = np.flatnonzero((kind == 3) | (kind == 0) & ((h >> np.uint64(2)) % np.uint64(EVERY) == 0))
-    after = np.cumsum(kind == 0)[at]  # content words up to the spot: the chain begins after them
+    place = np.arange(len(h))
+    far = place - np.maximum.accumulate(np.where(common, place, -GAP - 1)) > GAP
+    at = np.flatnonzero(common | far & ((h >> np.uint64(1)) % np.uint64(EVERY) == 0))
+    after = np.cumsum(~common)[at]  # content words up to the spot: the chain begins after them
     spot = np.concatenate(([np.uint64(7)], h[at]))
     after = np.concatenate(([0], after))
     padded = np.concatenate((content, np.zeros(CHAIN, np.uint64)))
@@ -75,27 +80,40 @@ def signatures(text: bytes, words: Words) -> np.ndarray:
     return distinct_sorted((s >> np.uint64(32)).astype(np.uint32))
 
 
-def length_partition(n: int, threshold: float = THRESHOLD) -> int:
+def length_partition(n: int, threshold: float = ALIKE) -> int:
     """Partition of sets of ``n`` signatures: lengths from one power of 1 / threshold to the next."""
     return int(math.log(max(n, 1)) / -math.log(threshold) + 1e-9)
 
 
-def likeness(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Jaccard of two sorted sets, 0 if it is below ``threshold``; two empty sets are alike.
-
-    Sets of partitions that aren't neighbours, or whose lengths can't reach the threshold, aren't intersected.
-    """
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard of two sorted sets; two empty sets are alike."""
     if not len(a) and not len(b):
         return 1.0
-    if not len(a) or not len(b):
-        return 0.0
-    if threshold and (abs(length_partition(len(a), threshold) - length_partition(len(b), threshold)) > 1 or min(len(a), len(b)) < threshold * max(len(a), len(b))):
-        return 0.0
     both = np.concatenate((a, b))
     both.sort()
     shared = int((both[1:] == both[:-1]).sum())
-    value = shared / (len(both) - shared)
-    return value if value >= threshold else 0.0
+    return shared / (len(both) - shared)
+
+
+def alike(a: np.ndarray, b: np.ndarray, threshold: float = ALIKE) -> bool:
+    """Whether the Jaccard of two sorted sets is at least ``threshold``, left as soon as it can't be."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return not len(b)
+    if length_partition(len(b), threshold) - length_partition(len(a), threshold) > 1 or len(a) < threshold * len(b) * (1 - 1e-12):
+        return False
+    # shared / (len(a) + len(b) - shared) >= threshold
+    need = threshold * (len(a) + len(b)) / (1 + threshold) * (1 - 1e-12)
+    shared = 0
+    for i in range(0, len(a), BLOCK):
+        part = a[i : i + BLOCK]
+        lo, hi = np.searchsorted(b, part[0]), np.searchsorted(b, part[-1], "right")
+        if shared + min(len(a) - i, len(b) - lo) < need:
+            return False
+        places = np.searchsorted(b[lo:hi], part)
+        shared += int((b[lo:hi][np.minimum(places, hi - lo - 1)] == part).sum()) if hi > lo else 0
+    return shared >= need
 
 
 def fingerprint(s: np.ndarray) -> str:
@@ -116,7 +134,7 @@ def _neighbours(batches: Iterable[pa.RecordBatch]):
                     half = len(before) // 2
                     edited = (before[: len(before) - half] + text[:half]).encode()
                     e = signatures(edited, words)
-                    row = (id_, len(before), hashlib.sha256(edited).hexdigest(), fingerprint(s), fingerprint(e), likeness(s, e), likeness(s, own), length_partition(len(s)))
+                    row = (id_, len(before), hashlib.sha256(edited).hexdigest(), fingerprint(s), fingerprint(e), likeness(s, e), likeness(s, own), alike(s, e), alike(s, own), length_partition(len(s)))
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
                 held = None if ahead else (bucket, doc, text, own)
@@ -161,6 +179,6 @@ def neighbour_fingerprints(docs: DataFrame, rows_in_range: int = 5000) -> DataFr
     return dealt.mapInArrow(_neighbours, SCHEMA)
 
 
-NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "length_partition"]
-TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32()]
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, length_partition int"
+NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "alike_edited", "alike_next", "length_partition"]
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_(), pa.int32()]
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, alike_edited boolean, alike_next boolean, length_partition int"
