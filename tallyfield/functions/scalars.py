@@ -86,3 +86,38 @@ def humanise(name: Column, acronyms: tuple[str, ...] = ("era", "whip", "fip", "w
     words = F.transform(F.split(x, "_"), lambda w: F.when(w.isin(*acronyms), F.upper(w)).otherwise(w))
     s = F.array_join(words, " ")
     return F.concat(F.upper(F.substring(s, 1, 1)), s.substr(F.lit(2), F.length(s)))
+
+
+def folded_name(text: Column) -> Column:
+    """Lower case without full stops and apostrophes, hyphens as spaces, & as and."""
+    return F.trim(F.replace(F.translate(F.lower(text), "-.'", " "), F.lit("&"), F.lit("and")))
+
+
+def listed_code(name: Column, codes: dict[str, str]) -> Column:
+    """The code of the full name that is equal; else of the first, as listed, that holds the name or is held by it.
+
+    Case counts for equality only.  The list is part of the plan, so it should be short.  NULL for a blank
+    name and where nothing fits.
+    """
+    trimmed = F.trim(name)
+    plain = F.lower(trimmed)
+    exact = F.coalesce(*[F.when(trimmed == full, F.lit(code)) for full, code in codes.items()])
+    near = F.coalesce(*[F.when(F.lit(full.lower()).contains(plain) | plain.contains(full.lower()), F.lit(code)) for full, code in codes.items()])
+    return F.when(trimmed != "", F.coalesce(exact, near))
+
+
+def night(ts: Column, zone: str, hour: int = 17) -> Column:
+    """1 from ``hour`` o'clock on by the clock of ``zone``, else 0; a missing time counts as night."""
+    return F.coalesce((F.hour(F.from_utc_timestamp(ts, zone)) >= hour).cast("int"), F.lit(1))
+
+
+def days_since(date: Column, season: Column, dates: dict[int, str]) -> Column:
+    """Days since the season's date; 0 before it and where the season has none."""
+    of = F.coalesce(*[F.when(season == year, F.lit(day).cast("date")) for year, day in dates.items()])
+    return F.greatest(F.coalesce(F.datediff(date, of), F.lit(0)), F.lit(0))
+
+
+def era_flags(season: Column, eras: dict[str, tuple[int | None, int | None]]) -> dict[str, Column]:
+    """1 for seasons from an era's first to its last (None: open), else 0."""
+    inside = lambda first, last: F.lit(True) & (season >= first if first is not None else True) & (season <= last if last is not None else True)
+    return {name: inside(*span).cast("int") for name, span in eras.items()}
