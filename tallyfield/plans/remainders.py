@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, Window, functions as F
 
 from tallyfield.functions.odds import implied, logit
 from tallyfield.functions.scalars import air_density, in_range
 from tallyfield.operators.quality import Contract, check_sql
+from tallyfield.operators.recent import candidates, top, trailing
 from tallyfield.operators.windows import lagged
 from tallyfield.plans.base import query
-from tallyfield.plans.views import GAMES_SQL, LOG_SQL, games, team_log
+from tallyfield.plans.views import GAMES_SQL, LOG_SQL, games, pitched, team_log
 from tallyfield.session import table
 
 G = f"WITH {GAMES_SQL}"
@@ -258,27 +259,30 @@ max(p) FILTER (h = 1 AND p % 3 = 0) AS best_left, max(p) FILTER (h = 1 AND p % 3
 def w16_bullpen(spark, sf_dir):
     """O-W16: closer, set-up man and best of either hand by scores over 30 days, and who is fresh: 35 pitches in two days.
 
-    Ties go to the lowest id.  Buckets of 30 days make the range an equi-join of (team, bucket), on rows that are one a
-    pitcher and day already; picks are aggregates with partial sums, so no window holds a team's days.
+    Ties go to the lowest id.  At most four candidates of each share of a team's pitchers and day are left to compare;
+    picks are then made in a window over these.
     """
-    c, epoch = F.col, F.lit("1970-01-01")
-    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("l_suppkey"), c("s_nationkey").alias("team")), "l_suppkey")
-    flag = lambda f: F.count_if(c("l_returnflag") == f)
-    a = l.groupBy("team", c("l_suppkey").alias("p"), F.to_date("l_shipdate").alias("d")).agg(flag("R").alias("saves"), flag("A").alias("holds"), F.count("*").alias("games"), F.sum("l_quantity").alias("pitches"))
-    bucket = F.floor(F.datediff("d", epoch) / 30)
-    days = a.select("team", c("d").alias("day"), bucket.alias("b")).distinct()
-    past = a.withColumn("b", F.explode(F.array(bucket, bucket + 1)))
-    s = days.join(past, ["team", "b"]).where("d < day and d >= date_sub(day, 30)").groupBy("team", "day", "p").agg(
-        (F.sum("saves") * 3 + F.sum("games") + F.sum("holds") * 0.25).alias("closing"),
-        (F.sum("holds") * 3 + F.sum("games") * 0.25).alias("setting"),
-        (F.coalesce(F.sum(F.when(c("d") >= F.date_sub("day", 2), c("pitches"))), F.lit(0)) <= 35).alias("fresh"),
-    )
+    c = F.col
+    plays, sizes, days = pitched(spark, sf_dir)
+    flag = lambda f: F.coalesce(c("l_returnflag") == f, F.lit(False)).cast("double")
+    plays = plays.select("team", c("pitcher").alias("p"), "d", flag("R").alias("saves"), flag("A").alias("holds"), F.lit(1.0).alias("games"), F.coalesce("l_quantity", F.lit(0.0)).alias("pitches"))
+
+    def picked(ids, of):
+        saves, holds, games = (trailing(of[v], 30, 30) for v in ("saves", "holds", "games"))
+        closing, setting, fresh = saves * 3 + games + holds * 0.25, holds * 3 + games * 0.25, trailing(of["pitches"], 2, 30) <= 35
+        left, there = (ids % 3 == 0)[:, None], games > 0
+        marks = top(closing, among=there & left) | top(closing, among=there & ~left) | top(setting, among=there, n=2)
+        return marks, {"closing": closing, "setting": setting, "fresh": fresh}
+
+    s = candidates(plays, sizes, "team", "p", "d", ["saves", "holds", "games", "pitches"], 30, picked, "closing double, setting double, fresh boolean")
+    s = s.join(days, ["team", "day"], "left_semi")
     # best by score, then lowest id; the second best set-up man stands in where the best one is the closer
-    best = lambda score, when=None: F.max(F.when(F.lit(True) if when is None else when, F.struct(c(score), (-c("p")).alias("low"), "fresh")))
+    of = lambda score: F.struct(c(score), (-c("p")).alias("low"), "fresh")
+    best = lambda score, when: F.max(F.when(when, of(score)))
     left = c("p") % 3 == 0
-    picks = s.groupBy("team", "day").agg(best("closing").alias("one"), best("closing", left).alias("lefty"), best("closing", ~left).alias("righty"))
-    others = s.join(picks.select("team", "day", (-c("one.low")).alias("taken")), ["team", "day"]).where("p <> taken").groupBy("team", "day").agg(best("setting").alias("two"))
-    return picks.join(others, ["team", "day"], "left").select(
+    s = s.withColumn("one", F.max(of("closing")).over(Window.partitionBy("team", "day")))
+    picks = s.groupBy("team", "day").agg(F.max("one").alias("one"), best("closing", left).alias("lefty"), best("closing", ~left).alias("righty"), best("setting", c("p") != -c("one.low")).alias("two"))
+    return picks.select(
         "team", "day", (-c("one.low")).alias("closer"), c("one.fresh").alias("closer_fresh"), (-c("two.low")).alias("setup"), c("two.fresh").alias("setup_fresh"),
         (-c("lefty.low")).alias("best_left"), (-c("righty.low")).alias("best_right"),
     )

@@ -66,3 +66,10 @@ def team_log(games_: DataFrame) -> DataFrame:
     s = games_.where("home_win is not null")
     side = lambda me, other, win, home: s.select("game_pk", "game_date", "season", F.col(f"{me}_team").alias("team"), F.col(f"{other}_team").alias("opponent"), win.cast("double").alias("win"), F.lit(home).alias("is_home"), F.col(f"{me}_score").alias("scored"), F.col(f"{other}_score").alias("allowed"))
     return side("home", "away", F.col("home_win"), 1).unionByName(side("away", "home", 1 - F.col("home_win"), 0))
+
+
+def pitched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines with their supplier's team as a pitcher's plays on a day d, each team's number of pitchers, and its days with plays."""
+    staff = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pitcher"), F.col("s_nationkey").alias("team"))
+    plays = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("pitcher"), F.to_date("l_shipdate").alias("d"), "l_quantity", "l_returnflag").join(staff, "pitcher")
+    return plays, staff.groupBy("team").agg(F.count("*").alias("__keys")), plays.select("team", F.col("d").alias("day")).distinct()
