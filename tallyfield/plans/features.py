@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tallyfield.functions.scalars import haversine
+from tallyfield.operators.recent import candidates, top, trailing
 from tallyfield.operators.windows import days_prior, lagged, latest, over, prior, with_streak
 from tallyfield.plans.base import query
-from tallyfield.plans.views import GAMES_SQL, LOG_SQL, games, team_log
+from tallyfield.plans.views import GAMES_SQL, LOG_SQL, games, pitched, team_log
 from tallyfield.session import table
 
 GL = f"WITH {GAMES_SQL}, {LOG_SQL}"
@@ -117,12 +118,20 @@ t AS (SELECT DISTINCT team, d FROM a), s AS (SELECT t.team, t.d, a.pitcher, sum(
 r AS (SELECT *, row_number() OVER (PARTITION BY team, d ORDER BY n DESC, load DESC, pitcher) AS k FROM s)
 SELECT team, d AS day, max(CASE WHEN k = 1 THEN pitcher END) AS closer, max(CASE WHEN k = 2 THEN pitcher END) AS setup, CAST(max(CASE WHEN k = 1 THEN n END) AS BIGINT) AS closer_games FROM r WHERE k <= 2 GROUP BY team, d""")
 def w16_roles(spark, sf_dir):
-    """O-W16: the two busiest of the last 30 days for each team and day.  Ties go to the lowest id."""
-    a = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).groupBy(F.col("s_nationkey").alias("team"), F.col("l_suppkey").alias("pitcher"), F.to_date("l_shipdate").alias("d")).agg(F.sum("l_quantity").alias("load"), F.count("*").alias("n"))
-    t = a.select("team", F.col("d").alias("day"), F.floor(F.datediff("d", F.lit("1970-01-01")) / 30).alias("b")).distinct()
-    # 30-day buckets make the range an equi-join: a day's past month lies in its bucket or the one before
-    past = a.withColumn("b", F.explode(F.array(*[F.floor(F.datediff("d", F.lit("1970-01-01")) / 30) + k for k in (0, 1)])))
-    s = t.join(past, ["team", "b"]).where("d < day and d >= date_sub(day, 30)").groupBy("team", "day", "pitcher").agg(F.sum("n").alias("n"), F.sum("load").alias("load"))
+    """O-W16: the two busiest of the last 30 days for each team and day.  Ties go to the lowest id.
+
+    Two candidates of each share of a team's pitchers and day; only these are compared in a window.
+    """
+    plays, sizes, days = pitched(spark, sf_dir)
+    plays = plays.select("team", "pitcher", "d", F.lit(1.0).alias("n"), F.coalesce("l_quantity", F.lit(0.0)).alias("load"), F.col("l_quantity").isNotNull().cast("double").alias("told"))
+
+    def busiest(ids, of):
+        n, load, told = (trailing(of[v], 30, 30) for v in ("n", "load", "told"))
+        # a sum of nulls only comes after all numbers
+        return top(n, told > 0, load, among=n > 0, n=2), {"n": n.astype("int64"), "load": load, "told": told > 0}
+
+    s = candidates(plays, sizes, "team", "pitcher", "d", ["n", "load", "told"], 30, busiest, "n long, load double, told boolean")
+    s = s.join(days, ["team", "day"], "left_semi").withColumn("load", F.when(F.col("told"), F.col("load")))
     r = s.withColumn("k", F.row_number().over(over(["team", "day"], [F.desc("n"), F.desc("load"), "pitcher"]))).where("k <= 2")
     pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
     return r.groupBy("team", "day").agg(pick(1, "pitcher").alias("closer"), pick(2, "pitcher").alias("setup"), pick(1, "n").alias("closer_games"))

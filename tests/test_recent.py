@@ -48,7 +48,7 @@ def test_candidates_hold_the_best_two(spark, monkeypatch, share, block):
     assert set(got) == seen
 
 
-@pytest.mark.parametrize("name", ["w16_bullpen"])
+@pytest.mark.parametrize("name", ["w16_roles", "w16_bullpen"])
 def test_no_join_repeats_plays_for_each_day_after(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "date_sub" not in plan and "applyInArrow" in plan.replace("FlatMapGroupsInArrow", "applyInArrow")
