@@ -109,3 +109,13 @@ def test_snapshots_hold_each_keys_newest_row(spark, several, every):
     left = [d for d in os.listdir(f"{base}/{stream}/out") if d.startswith("batch=")]
     kept = [d for d in os.listdir(f"{base}/{stream}/snapshots") if d.startswith("upto=")]
     assert len(left) == FILES % every and len(kept) == 1
+
+
+def test_many_keys_share_a_state_for_staleness(spark, several, one_file_a_batch, monkeypatch):
+    """Two states hold all keys; what is told is the same as with a key a state."""
+    monkeypatch.setattr(streams, "STATES", 2)
+    progress = []
+    got = streams.stale_keys(spark, several, progress=progress).where("stale").select("user_id", "ts").collect()
+    assert max(p["stateOperators"][-1]["numRowsTotal"] for p in progress) <= 2 * 2  # states and their timers
+    keys = {r["c_custkey"] for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()}
+    assert plain(tuple(r) for r in got if r["user_id"] in keys) == plain(twin("st05_stale").fetchall())
