@@ -119,3 +119,14 @@ def test_many_keys_share_a_state_for_staleness(spark, several, one_file_a_batch,
     assert max(p["stateOperators"][-1]["numRowsTotal"] for p in progress) <= 2 * 2  # states and their timers
     keys = {r["c_custkey"] for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()}
     assert plain(tuple(r) for r in got if r["user_id"] in keys) == plain(twin("st05_stale").fetchall())
+
+
+def test_many_orders_share_a_state_for_alerts(spark, several, one_file_a_batch, monkeypatch):
+    """Two states hold all orders with an alert, and are empty when all games are over."""
+    monkeypatch.setattr(streams, "STATES", 2)
+    progress = []
+    rows = streams.first_alerts(spark, several, progress=progress).collect()
+    want = dict(twin("st08_alerts").fetchall())
+    assert len(rows) == len(want) > 4 and {r["o_orderkey"] for r in rows} == set(want)
+    held = [p["stateOperators"][-1]["numRowsTotal"] for p in progress]
+    assert 0 < max(held) <= 2 * 2 and held[-1] == 0
