@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyfield.operators import joins as J
+from tallyfield.operators.order import stored
 from tallyfield.operators.quality import Contract, audit, broken_rules, fingerprint
 from tallyfield.plans.base import query
 from tallyfield.plans.market import priced
@@ -225,6 +226,7 @@ def e02_walk_forward(spark, sf_dir):
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 
     g = priced(spark, sf_dir).where("home_win is not null").select("game_date", F.col("home_win").cast("double").alias("label"), "market", (F.col("ch") - F.col("oh")).alias("move"), F.col("model_prob").alias("prior"))
+    g = stored(g)  # each fold's steps read it, and so do the scores
     sizes = sorted((r["year"], r["count"]) for r in g.groupBy(F.year("game_date").alias("year")).count().collect())  # one row a year
     folds = [(y, sum(n for before, n in sizes if before < y), n) for y, n in sizes]
     out = None

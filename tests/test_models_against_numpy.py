@@ -148,3 +148,9 @@ def test_walk_forward_fits(spark, games):
         y = rest.label.to_numpy()
         assert row["n"] == len(rest)
         assert abs(row["log_loss"] - loss(p, y)) < 1e-4 and abs(row["blend_loss"] - loss((p + rest.market.to_numpy()) / 2, y)) < 1e-4
+
+
+def test_walk_forward_reads_a_table_written_once(spark):
+    """Fits and scores of all folds read the examples as they were written, not orders and customers again."""
+    files = QUERIES["e02_walk_forward"](spark, SF).inputFiles()
+    assert files and not any(t in f for f in files for t in ("orders.parquet", "customer.parquet"))
