@@ -154,27 +154,39 @@ def box_scores(spark, sf_dir) -> DataFrame:
 def flat_boxes(docs: DataFrame) -> DataFrame:
     """One row a document: scalars, hand counts of the batting order, the catcher, the pitchers' sums.
 
-    The document is parsed once into a VARIANT column, from which paths are read; a value of another type
-    than asked for, or a broken document, is NULL.  Objects keyed by player and arrays are exploded as rows
+    The document is made and parsed once into a VARIANT column, from which paths are read; a value of another type
+    than asked for, or a broken document, is NULL.  Objects keyed by player and arrays are exploded together as rows
     of the document and summed by it, so a document of many players is no long array of another kind.
     """
-    v = docs.select("game_pk", F.try_parse_json("doc").alias("v"))
+    c = F.col
+    v = docs.select("game_pk", F.monotonically_increasing_id().alias("doc"), F.try_parse_json("doc").alias("v"))
     at = lambda path, kind: F.try_variant_get("v", path, kind)
-    roof = F.lower(at("$.gameData.venue.roofType", "string"))
+    v = v.select("game_pk", "doc", at("$.gameData.status", "string").alias("status"), at("$.gameData.venue.elevation", "double").alias("elevation"), F.lower(at("$.gameData.venue.roofType", "string")).alias("roof"), at("$.home", "variant").alias("home"))
+    # a document without players or pitchers keeps a row
+    rows = docs.sparkSession.sql(
+        "SELECT game_pk, doc, status, elevation, roof, h.key AS part, x.pos, x.key, x.value FROM {v}, LATERAL variant_explode_outer(home) h, "
+        "LATERAL variant_explode_outer(CASE WHEN h.key IN ('players', 'pitchers') THEN h.value END) x",
+        v=v,
+    )
+    is_bat, is_arm = c("part") == "players", (c("part") == "pitchers") & c("pos").isNotNull()
+    of = lambda part, path, kind: F.when(part, F.try_variant_get("value", path, kind))
+    text = F.split(of(is_arm, "$.stats.inningsPitched", "string"), "\\.")
+    told = rows.select(
+        "game_pk", "doc", "status", "elevation", "roof", is_arm.alias("arm"), "pos", "key", of(is_bat, "$.battingOrder", "int").alias("place"), of(is_bat, "$.batSide.code", "string").alias("hand"),
+        of(is_bat, "$.position.abbreviation", "string").alias("role"), of(is_arm, "$.id", "long").alias("id"), of(is_arm, "$.stats.pitches", "long").alias("thrown"), text.alias("text"),
+    )
+    player = F.try_to_number(F.substring("key", 3, 20), F.lit("99999999")).cast("long")
+    bat = (c("place") > 0) & (c("place") <= 900)
+    hands = lambda side: F.sum(F.when(bat, F.when(c("hand") == side, 1.0).when(c("hand") == "S", 0.5).otherwise(0.0)))
+    outs = F.get("text", F.lit(0)).cast("long") * 3 + F.coalesce(F.get("text", F.lit(1)).cast("long"), F.lit(0))
+    flat = told.groupBy("game_pk", "doc", "status", "elevation", "roof").agg(
+        hands("L").alias("lhb"), hands("R").alias("rhb"), F.min(F.when(bat & (c("role") == "C"), player)).alias("catcher"),
+        F.count(F.when(c("arm"), 1)).alias("pitchers"), F.min_by("id", F.when(c("arm"), c("pos"))).alias("starter"), F.sum(outs).alias("outs"), F.sum("thrown").alias("pitches"),
+    )
     flag = lambda test: F.coalesce(test, F.lit(False)).cast("double")
-    scalars = v.select("game_pk", at("$.gameData.status", "string").alias("status"), at("$.gameData.venue.elevation", "double").alias("elevation"), flag(roof.contains("retractable") | roof.contains("dome")).alias("roof_possible"), F.when(roof.contains("dome"), 1.0).alias("roof_closed"))
-    spark = docs.sparkSession
-    players = spark.sql("SELECT game_pk, x.key, x.value FROM {v}, LATERAL variant_explode(variant_get(v, '$.home.players')) x", v=v)
-    of = lambda path, kind: F.try_variant_get("value", path, kind)
-    bats = players.select("game_pk", F.try_to_number(F.substring("key", 3, 20), F.lit("99999999")).cast("long").alias("player"), of("$.battingOrder", "int").alias("place"), of("$.batSide.code", "string").alias("hand"), of("$.position.abbreviation", "string").alias("role")).where("place > 0 and place <= 900")
-    hands = lambda side: F.sum(F.when(F.col("hand") == side, 1.0).when(F.col("hand") == "S", 0.5).otherwise(0.0))
-    lineup = bats.groupBy("game_pk").agg(hands("L").alias("lhb"), hands("R").alias("rhb"), F.min(F.when(F.col("role") == "C", F.col("player"))).alias("catcher"))
-    arms = spark.sql("SELECT game_pk, x.pos, x.value FROM {v}, LATERAL variant_explode(variant_get(v, '$.home.pitchers')) x", v=v)
-    text = F.split(of("$.stats.inningsPitched", "string"), "\\.")
-    outs = F.get(text, 0).cast("long") * 3 + F.coalesce(F.get(text, 1).cast("long"), F.lit(0))
-    arms = arms.select("game_pk", "pos", of("$.id", "long").alias("id"), outs.alias("outs"), of("$.stats.pitches", "long").alias("pitches"))
-    staff = arms.groupBy("game_pk").agg(F.count("*").alias("pitchers"), F.min_by("id", "pos").alias("starter"), F.sum("outs").alias("outs"), F.sum("pitches").alias("pitches"))
-    return scalars.join(lineup, "game_pk", "left").join(staff, "game_pk", "left").fillna(0, ["pitchers"])
+    roof = c("roof")
+    scalars = ["game_pk", "status", "elevation", flag(roof.contains("retractable") | roof.contains("dome")).alias("roof_possible"), F.when(roof.contains("dome"), 1.0).alias("roof_closed")]
+    return flat.select(*scalars, "lhb", "rhb", "catcher", "pitchers", "starter", "outs", "pitches")
 
 
 @query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS n FROM lineitem),

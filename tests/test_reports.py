@@ -88,3 +88,13 @@ def test_sharpe_stakes_are_the_best(spark, rho):
         assert np.allclose(mu[w > 0], lead[w > 0], atol=1e-9) and (mu[w == 0] <= lead[w == 0] + 1e-9).all()
         for _ in range(50):
             assert ratio(np.clip(w * rng.uniform(0.5, 1.5, len(w)) + rng.uniform(0, 0.01, len(w)) * (rng.random(len(w)) < 0.3), 0, None)) <= ratio(w) + 1e-9
+
+
+def test_boxes_are_made_and_parsed_once(spark):
+    """One scan of each table and one parse; a document of neither players nor pitchers keeps its row."""
+    plan = QUERIES["io07_box"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lineitem.parquet") <= 1 and plan.lower().count("parse_json") + plan.count("parseJson") == 1
+    docs = [(1, None), (2, "{"), (3, '{"home": {"players": {}, "pitchers": [], "bench": [1, 2]}}'), (4, '{"gameData": {"status": "F"}, "home": {"pitchers": [{"id": 7, "stats": {"inningsPitched": "1.2", "pitches": 9}}, null]}}')]
+    got = {r["game_pk"]: r for r in reports.flat_boxes(spark.createDataFrame(docs, "game_pk long, doc string")).collect()}
+    assert set(got) == {1, 2, 3, 4} and all(got[k]["pitchers"] == 0 and got[k]["lhb"] is None and got[k]["outs"] is None for k in (1, 2, 3))
+    assert (got[4]["pitchers"], got[4]["starter"], got[4]["outs"], got[4]["pitches"], got[4]["status"]) == (2, 7, 5, 9, "F")
