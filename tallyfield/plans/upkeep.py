@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, functions as F
+import functools
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyfield.operators import joins as J
 from tallyfield.plans.base import query
@@ -127,6 +129,12 @@ def j10_fill(spark, sf_dir):
     return p.where("value is not null").select("event_id", "value", F.lit(False).alias("filled")).unionByName(filled)
 
 
+def value_counts(rows: DataFrame, *group: str) -> DataFrame:
+    """Of each group: n (rows with a value ``v``), d (different values) and top (the largest without sign)."""
+    by = rows.where("v is not null").groupBy(*group, "v").agg(F.count("*").alias("n"))
+    return by.groupBy(*group).agg(F.sum("n").alias("n"), F.count("*").alias("d"), F.max(F.abs("v")).alias("top"))
+
+
 FEATURES = ("l_quantity", "l_tax", "l_linenumber", "supplier_season")
 
 
@@ -139,10 +147,9 @@ def a25_constancy(spark, sf_dir):
     """O-A25: how often a feature has one value, not zero, all through an entity's season of ten rows or more."""
     season = F.year("l_shipdate").cast("long")
     l = table(spark, sf_dir, "lineitem").select("l_suppkey", season.alias("season"), "l_quantity", "l_tax", "l_linenumber", (F.col("l_suppkey") * 10000 + season).alias("supplier_season"))
-    u = l.unpivot(["l_suppkey", "season"], [F.col(c).cast("double").alias(c) for c in FEATURES], "feature", "v").where("v is not null")
-    # first by value, so that no group's values are held at once
-    by = u.groupBy("feature", "l_suppkey", "season", "v").agg(F.count("*").alias("n")).groupBy("feature", "l_suppkey", "season")
-    by = by.agg(F.sum("n").alias("n"), F.count("*").alias("d"), F.max(F.abs("v")).alias("top")).where("n >= 10")
+    # a feature at a time, first by value: no group's values are held at once, and a task's table of counts has the rows of its split once, not once a feature
+    parts = [value_counts(l.select("l_suppkey", "season", F.col(c).cast("double").alias("v")), "l_suppkey", "season").withColumn("feature", F.lit(c)) for c in FEATURES]
+    by = functools.reduce(DataFrame.unionByName, parts).where("n >= 10")
     constant = ((F.col("d") == 1) & (F.col("top") > 0)).cast("double")
     return by.groupBy("feature").agg(F.count("*").alias("n_groups"), F.round(F.avg(constant), 9).alias("constant_share"), F.percentile("d", F.lit(0.5)).alias("median_distinct"))
 
