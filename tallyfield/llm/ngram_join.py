@@ -17,7 +17,8 @@ of the odds that two shingles share a 64-bit hash.  Classes with D <= 2 use the
 less one shingle; a set that may hold another and two shingles more gives all sets less two shingles
 besides (351 at most), which is exact.
 
-Large groups.  Equal sets are one node before anything is dealt out.  In a cell only one point, the most
+Large groups.  Of equal sets in one task only the first has keys and a point, however many there are; met
+keys of other tasks' copies take their node's number, so equal sets are one node of a cell.  In a cell only one point, the most
 central, is joined to the others (a linear star); what proves to be linked is contracted, cells with
 more than one component left get a star from a point outside their main component, and so on while
 that settles a quarter of what is open.  Only points that are still outside a cell's main component
@@ -29,16 +30,18 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyfield.llm.common import WordHashes, as_bytes, components, distinct_sorted, mix, rowwise, shingle_hashes, stash
+from tallyfield.llm.common import WordHashes, as_bytes, components, distinct_sorted, mix, remove, rowwise, shared_dir, shingle_hashes, stash
 
 GROUPS = 128  # coordinates of the point used for the bound
 NODE = 32  # points in a node of a cell's R-tree
 LEFT = 512  # points of one block of a cell's query set
+SEEN = 300_000  # digests a task remembers; when it has so many it begins anew
 PARTITIONS = 52  # blocks that all partitions of a class have together, at least
 
 
@@ -123,7 +126,8 @@ def minima(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _signatures(k: int, percent: int, batches):
-    hashes = WordHashes()
+    """Rows of SIGNED; a set that the task has met before has neither keys nor a point."""
+    hashes, seen = WordHashes(), set()
     for batch in batches:
         for part in rowwise(batch):
             n, digest, keys, points, odd = [], [], [], [], []
@@ -131,9 +135,14 @@ def _signatures(k: int, percent: int, batches):
                 s = distinct_sorted(shingle_hashes(hashes.of(text.lower().split()), k))
                 n.append(len(s))
                 digest.append(digest_of(s))
-                keys.append(cell_keys(s, percent).view(np.int64))
-                points.append(point(s).tobytes())
-                odd.append(parities(s).tobytes())
+                again = digest[-1] in seen
+                if not again:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(digest[-1])
+                keys.append((cell_keys(s, percent) if not again else s[:0]).view(np.int64))
+                points.append(None if again else point(s).tobytes())
+                odd.append(None if again else parities(s).tobytes())
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys))), pa.array(points, pa.binary()), pa.array(odd, pa.binary())],
@@ -142,7 +151,7 @@ def _signatures(k: int, percent: int, batches):
 
 
 def _met(batches):
-    """Rows sorted by key -> the rows whose key another row has too.  Holds one row between batches."""
+    """Rows sorted by key and id -> the rows whose key another id has too, once.  Holds one row between batches."""
     held = None  # key, id, whether it is known to be met
     for batch in batches:
         key, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -151,6 +160,8 @@ def _met(batches):
         first = False
         if held:
             key, at, first = np.append(held[0], key), np.append(held[1], at), held[2]
+        new = np.append(True, (key[1:] != key[:-1]) | (at[1:] != at[:-1]))
+        key, at = key[new], at[new]
         same = key[1:] == key[:-1]
         met = np.append(False, same) | np.append(same, False)
         met[0] |= first
@@ -285,9 +296,41 @@ def jaccard_links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataF
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = stash(texts.mapInArrow(functools.partial(_signatures, k, percent), SIGNED).withColumn("at", F.monotonically_increasing_id()))
     nodes = stash(base.where("digest is not null").groupBy("digest").agg(F.min("at").alias("node")))
-    points = base.where("digest is not null").select(F.col("at").alias("id"), "n", "point", "odd")
-    keyed = base.where("size(keys) > 0").join(nodes.select(F.col("node").alias("at")), "at", "left_semi").select(F.explode("keys").alias("key"), F.col("at").alias("id"))
-    cells = stash(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_met, "key long, id long").distinct())
+    keyed = base.where("size(keys) > 0").select(F.explode("keys").alias("key"), F.col("at").alias("id"))
+    # copies in other tasks have the same keys: after the keys that one task's rows alone have are gone, they become their node
+    copies = base.where("size(keys) > 0").join(nodes, "digest").where("at <> node").select(F.col("at").alias("id"), "node")
+    met = _dealt(keyed).join(copies, "id", "left").select("key", F.coalesce("node", "id").alias("id"))
+    cells = stash(_dealt(met))
+    # only those in a cell are asked for; they are dealt out once, all rounds of bounds read them as they lie
+    points, drop = _by_id(base.where("size(keys) > 0").select(F.col("at").alias("id"), "n", "point", "odd"))
+    try:
+        links, labels = _linked(texts, base, cells, points, k, percent)
+    finally:
+        drop()
+    return base.join(nodes, "digest", "left").select("doc_id", "n", "node"), links, labels
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows (key, id) whose key another id has too, each once."""
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_met, "key long, id long")
+
+
+def _by_id(rows: DataFrame):
+    """``rows`` as a table in buckets by id in the shared folder, and what removes it: joins by id don't shuffle it."""
+    spark = rows.sparkSession
+    name, n = f"ngram_points_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/{name}"
+    rows.repartition(n, "id").write.bucketBy(n, "id").sortBy("id").option("path", path).saveAsTable(name)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+
+    return spark.table(name), drop
+
+
+def _linked(texts: DataFrame, base: DataFrame, cells: DataFrame, points: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links between the nodes of the cells, enough to connect every component, and the linked nodes' labels."""
 
     # the most central point of each cell: the one that meets most others over all its cells
     sized = cells.join(cells.groupBy("key").agg(F.count("*").alias("k")), "key")
@@ -315,10 +358,10 @@ def jaccard_links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataF
         if not rest or not found or before is not None and 4 * rest > 3 * before:
             break
     if not rest:
-        return base.join(nodes, "digest", "left").select("doc_id", "n", "node"), links, labels
+        return links, labels
 
     # what is left: points outside the main component, in blocks, against their cell
-    open_ = told.join(points, "id").withColumn("blocks", F.ceil(F.col("rest") / LEFT).cast("int"))
+    open_ = told.join(points.hint("merge"), "id").withColumn("blocks", F.ceil(F.col("rest") / LEFT).cast("int"))
     cell = open_.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(False))
     asked = open_.where("label <> main").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("query", F.lit(True))
     cols = ["key", "block", "id", "n", "label", "query", "point", "odd"]
@@ -328,13 +371,13 @@ def jaccard_links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataF
     links = links.unionByName(second)
     if second.limit(1).count():
         labels = components(links)
-    return base.join(nodes, "digest", "left").select("doc_id", "n", "node"), links, labels
+    return links, labels
 
 
 def _likely(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """The pairs that both bounds let through."""
     pa_, pb_ = (points.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
-    return pairs.join(pa_, "a").join(pb_, "b").mapInArrow(functools.partial(_bounded, percent), "a long, b long")
+    return pairs.join(pa_.hint("merge"), "a").join(pb_.hint("merge"), "b").mapInArrow(functools.partial(_bounded, percent), "a long, b long")
 
 
 def _verify(texts: DataFrame, base: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -347,7 +390,9 @@ def _verify(texts: DataFrame, base: DataFrame, pairs: DataFrame, k: int, percent
     wanted = texts.join(one.select("doc_id").distinct(), "doc_id", "left_semi")
     if one.where("doc_id is null").limit(1).count():
         wanted = wanted.unionByName(texts.where("doc_id is null"))
-    sets = stash(wanted.mapInArrow(functools.partial(_sets, k), "digest binary, shingles binary").join(one.select("digest", "id"), "digest").select("id", "shingles").dropDuplicates(["id"]))
+    # one set a digest, where they are dealt by digest anyway
+    made = wanted.mapInArrow(functools.partial(_sets, k), "digest binary, shingles binary").where("digest is not null").dropDuplicates(["digest"])
+    sets = stash(made.join(one.select("digest", "id"), "digest").select("id", "shingles"))
     sa, sb = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     return stash(pairs.join(sa, "a").join(sb, "b").mapInArrow(functools.partial(_verified, percent), "a long, b long"))
 
